@@ -23,9 +23,43 @@ def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
     return syntax_rates(table(spark, folder, "source_files"))
 
 
+def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Container of every document, or piece of one, for each capacity."""
+    from tesserine.llm.packing import pack
+
+    return pack(table(spark, folder, "documents"), table(spark, folder, "pack_specs"))
+
+
+def p8_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers and unused share per capacity."""
+    from tesserine.llm.packing import pack_summary
+
+    return pack_summary(table(spark, folder, "documents"), table(spark, folder, "pack_specs"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluation items that leaked, with the documents that hold them."""
+    return p9_leaks(spark, folder).select("item_id", "doc_id")
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pairs with the share of the item found and its longest connected span."""
+    from tesserine.llm.leakage import leaks
+
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that consist mainly of keywords, links or product tags."""
+    from tesserine.llm.spam import spam_pages
+
+    return spam_pages(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of the subpackage by name."""
-    return {"p6_found": p6_found, "p6_rates": p6_rates}
+    names = [p6_found, p6_rates, p8_pack, p8_summary, p9_found, p9_leaks, p10_found]
+    return {f.__name__: f for f in names}
 
 
 def oracle_sql() -> dict[str, str]:
