@@ -23,6 +23,20 @@ def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
     return syntax_rates(table(spark, folder, "source_files"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines on which a secret begins."""
+    from tesserine.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, folder, "source_files"), table(spark, folder, "modules"))
+
+
+def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that hold secrets, with the secrets masked."""
+    from tesserine.llm.secrets import redacted_files
+
+    return redacted_files(table(spark, folder, "source_files"), table(spark, folder, "modules"))
+
+
 def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Container of every document, or piece of one, for each capacity."""
     from tesserine.llm.packing import pack
@@ -58,7 +72,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of the subpackage by name."""
-    names = [p6_found, p6_rates, p8_pack, p8_summary, p9_found, p9_leaks, p10_found]
+    names = [p6_found, p6_rates, p7_found, p7_redacted, p8_pack, p8_summary, p9_found, p9_leaks, p10_found]
     return {f.__name__: f for f in names}
 
 

@@ -28,6 +28,8 @@ FEWEST = 8
 #: 99.9 % quantile of chi-square with seven degrees of freedom, and its median. Fixed values.
 CUT, MEDIAN = 24.32, 6.346
 STEPS = 2
+#: Words of an ordinary page that every page is counted as having besides its own, so that short pages are judged mildly.
+PRIOR = 6
 #: A deviation points at spam when it has this cosine with a spam direction.
 COSINE = 0.35
 #: Pages of a language at which its own scatter weighs as much as the pooled one.
@@ -108,11 +110,16 @@ def page_features(text: str | None, label: str | None) -> tuple[str, list[float]
             last = w
     top = max(pairs.values(), default=0)
     favourite = max(pairs, key=lambda p: (pairs[p], p)) if top > 2 else None
+    function_words = 0
     for segment, ended in segments:
         m = len(segment)
-        if m < 4 or not ended:
-            continue
-        if len([w for w in segment if w in known]) < 0.12 * m:
+        here: dict[str, int] = {}
+        for w in segment:
+            for k in get(w, ()):
+                here[k] = here.get(k, 0) + 1
+        most = max(here.values(), default=0)
+        function_words += most
+        if m < 4 or most < (0.07 if ended else 0.2) * m or not most:
             continue
         if favourite and segment.count(favourite[0]) > 1 and sum(1 for p in zip(segment, segment[1:]) if p == favourite) > 1:
             continue
@@ -121,8 +128,8 @@ def page_features(text: str | None, label: str | None) -> tuple[str, list[float]
     entropy = -sum(v / n * math.log(v / n) for v in counts.values()) / math.log(n) if n > 1 else 1.0
     big = max(n, 40)
     return language, [
-        math.sqrt(best / n) if n else 0.0,
-        in_sentences / total,
+        math.sqrt(function_words / n) if n else 0.0,
+        (in_sentences + PRIOR * 0.8) / (total + PRIOR),
         math.sqrt(max(2 * (top - 1) / big, (top_word - 1) / big, 0.0)),
         entropy,
         math.sqrt(links / total),
