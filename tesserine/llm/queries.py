@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserine.session import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages other than English in which a file version has a passage."""
+    from tesserine.llm.spoken import foreign_languages
+
+    return foreign_languages(table(spark, folder, "source_files"), table(spark, folder, "documents"))
+
+
+def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Characters and share of every language in every file version."""
+    from tesserine.llm.spoken import language_shares
+
+    return language_shares(table(spark, folder, "source_files"), table(spark, folder, "documents"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Versions that are not valid in the language of their extension."""
     from tesserine.llm.syntax import invalid_files
@@ -72,7 +86,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of the subpackage by name."""
-    names = [p6_found, p6_rates, p7_found, p7_redacted, p8_pack, p8_summary, p9_found, p9_leaks, p10_found]
+    names = [p2_found, p2_shares, p6_found, p6_rates, p7_found, p7_redacted, p8_pack, p8_summary, p9_found, p9_leaks, p10_found]
     return {f.__name__: f for f in names}
 
 

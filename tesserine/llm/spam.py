@@ -42,7 +42,7 @@ _DIRECTIONS = [
     [-1.0, -1.0, 0.0, 0.0, 0.0, 0.0, 1.5],
 ]
 _URL = re.compile(r"(?:https?://|www\.)\S+")
-_TOKEN = re.compile(r"https?://\S+|#\w+|[^\W_]+(?:['’][^\W_]+)?|[,;|/·•>!?.:。，；！？\n]", re.U)
+_TOKEN = re.compile(r"\d+(?:[.,]\d+)+|https?://\S+|#\w+|[^\W_]+(?:['’][^\W_]+)?|[,;|/·•>!?.:。，；！？\n]", re.U)
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _BREAKS, _SEPARATORS = frozenset(".!?。！？\n:"), frozenset(",;|/·•>，；")
 _ENDS = frozenset(".!?。！？:")
@@ -121,6 +121,8 @@ def page_features(text: str | None, label: str | None) -> tuple[str, list[float]
         function_words += most
         if m < 4 or most < (0.07 if ended else 0.2) * m or not most:
             continue
+        if m >= 12 and len({w for w in segment if w in LANGUAGES_OF}) < 1 + min(m // 12, 3):
+            continue
         if favourite and segment.count(favourite[0]) > 1 and sum(1 for p in zip(segment, segment[1:]) if p == favourite) > 1:
             continue
         in_sentences += m
