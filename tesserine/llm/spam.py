@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +43,12 @@ _DIRECTIONS = [
     [-1.0, -1.0, 0.5, 0.0, 0.0, 1.0, 0.5],
     [-1.0, -1.0, 0.0, 0.0, 0.0, 0.0, 1.5],
 ]
-_URL = re.compile(r"(?:https?://|www\.)\S+")
-_TOKEN = re.compile(r"\d+(?:[.,]\d+)+|https?://\S+|#\w+|[^\W_]+(?:['’][^\W_]+)?|[,;|/·•>!?.:。，；！？\n]", re.U)
+_URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+")
+_TAG = re.compile(r"(?<!\w)#\w+")
+_WORD = re.compile(r"#?\w+")
+_SEGMENT = re.compile(r"((?:[^.!?:\n。！？]|\.(?=\d)|:(?=//))+)([.!?:。！？]?)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
-_BREAKS, _SEPARATORS = frozenset(".!?。！？\n:"), frozenset(",;|/·•>，；")
-_ENDS = frozenset(".!?。！？:")
+_SEPARATORS = ",;|/·•>，；"
 
 
 def page_features(text: str | None, label: str | None) -> tuple[str, list[float]] | None:
@@ -55,43 +58,23 @@ def page_features(text: str | None, label: str | None) -> tuple[str, list[float]
     text = text or ""
     if _CJK.search(text):
         text = _CJK.sub(lambda m: f" {m.group()} ", text)
+    text = text.lower()
     links = 0
-    words: list[str] = []
-    segments: list[tuple[list[str], bool]] = []
-    current: list[str] = []
-    separators = tags = 0
-    for x in _TOKEN.findall(text.lower()):
-        if len(x) == 1 and not x.isalnum():
-            if x in _BREAKS:
-                if current:
-                    segments.append((current, x in _ENDS))
-                    current = []
-            else:
-                separators += 1
-        elif x[0] == "#" and len(x) > 1:
-            tags += 1
-            words.append(x)
-            current.append(x)
-        elif x.startswith("http") and "://" in x:
-            links += 1
-        else:
-            words.append(x)
-            current.append(x)
-    if current:
-        segments.append((current, False))
+    if "://" in text or "www." in text:
+        text, links = _URL.subn(" ", text)
+    separators = sum(map(text.count, _SEPARATORS))
+    tags = len(_TAG.findall(text)) if "#" in text else 0
+    segments = [(_WORD.findall(x), bool(end)) for x, end in _SEGMENT.findall(text)]
+    words = list(chain.from_iterable(x for x, _ in segments))
     n = len(words)
     total = n + links
     if total < FEWEST:
         return None
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
+    counts = Counter(words)
     best, language = 0, (label or "").strip().lower()[:2]
-    by_language: dict[str, int] = {}
     get = LANGUAGES_OF.get
-    for w, v in counts.items():
-        for k in get(w, ()):
-            by_language[k] = by_language.get(k, 0) + v
+    hits = [list(filter(None, map(get, x))) for x, _ in segments]
+    by_language = Counter(chain.from_iterable(chain.from_iterable(hits)))
     for k, c in by_language.items():
         if c > best or c == best and k < language:
             best, language = c, k
@@ -100,34 +83,31 @@ def page_features(text: str | None, label: str | None) -> tuple[str, list[float]
     if best < 0.05 * n and (label or "").strip().lower()[:2] in WORDS:
         language = (label or "").strip().lower()[:2]
     known = WORDS[language]
-    pairs: dict[tuple[str, str], int] = {}
-    in_sentences = 0
-    for segment, ended in segments:
-        last = ""
-        for w in segment:
-            if last and w not in known and last not in known:
-                pairs[last, w] = pairs.get((last, w), 0) + 1
-            last = w
-    top = max(pairs.values(), default=0)
-    favourite = max(pairs, key=lambda p: (pairs[p], p)) if top > 2 else None
-    function_words = 0
-    for segment, ended in segments:
+    pairs = Counter(chain.from_iterable(zip(x, x[1:]) for x, _ in segments))
+    top, favourite = 0, None
+    if pairs:
+        for p, c in sorted(pairs.items(), key=lambda y: (-y[1], y[0])) if len(pairs) < 64 else pairs.most_common(64):
+            if p[0] not in known and p[1] not in known:
+                top, favourite = c, p if c > 2 else None
+                break
+    in_sentences = function_words = 0
+    for (segment, ended), hit in zip(segments, hits):
         m = len(segment)
-        here: dict[str, int] = {}
-        for w in segment:
-            for k in get(w, ()):
-                here[k] = here.get(k, 0) + 1
-        most = max(here.values(), default=0)
+        if not hit:
+            continue
+        most = len([h for h in hit if language in h])
+        if most * 2 < len(hit):
+            most = max(Counter(chain.from_iterable(hit)).values())
         function_words += most
-        if m < 4 or most < (0.07 if ended else 0.2) * m or not most:
+        if m < 4 or most < (0.07 if ended else 0.2) * m:
             continue
         if m >= 12 and len({w for w in segment if w in LANGUAGES_OF}) < 1 + min(m // 12, 3):
             continue
-        if favourite and segment.count(favourite[0]) > 1 and sum(1 for p in zip(segment, segment[1:]) if p == favourite) > 1:
+        if favourite and segment.count(favourite[0]) > 1 and 2 * sum(1 for p in zip(segment, segment[1:]) if p == favourite) > 0.34 * m:
             continue
         in_sentences += m
     top_word = max((v for w, v in counts.items() if w not in known), default=0)
-    entropy = -sum(v / n * math.log(v / n) for v in counts.values()) / math.log(n) if n > 1 else 1.0
+    entropy = 1 - sum(v * math.log(v) for v in counts.values() if v > 1) / (n * math.log(n)) if n > 1 else 1.0
     big = max(n, 40)
     return language, [
         math.sqrt(function_words / n) if n else 0.0,
@@ -191,14 +171,25 @@ def _distances(points: DataFrame, model: dict[str, tuple]) -> DataFrame:
     directions = np.array(_DIRECTIONS)
     directions = directions / np.linalg.norm(directions, axis=1, keepdims=True)
 
-    def run(rows):
-        for r in rows:
-            m, p, sd = inverse[r["language"]]
-            x = np.array([r[c] for c in FEATURES]) - m
-            z = x / sd
-            yield r["doc_id"], r["language"], *(r[c] for c in FEATURES), float(x @ p @ x), float((directions @ z).max() / (np.linalg.norm(z) + 1e-9))
-
-    return map_rows(points, run, "doc_id bigint, language string, " + ", ".join(f"{c} double" for c in FEATURES) + ", distance double, direction double")
+    schema = "doc_id bigint, language string, " + ", ".join(f"{c} double" for c in FEATURES) + ", distance double, direction double"
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            languages = np.array(batch.column("language").to_pylist(), dtype=object)
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in FEATURES], axis=1) if batch.num_rows else np.zeros((0, len(FEATURES)))
+            distance, direction = np.zeros(len(x)), np.zeros(len(x))
+            for g, (m, p, sd) in inverse.items():
+                here = languages == g
+                if here.any():
+                    d = x[here] - m
+                    z = d / sd
+                    distance[here] = np.einsum("ij,jk,ik->i", d, p, d)
+                    direction[here] = (z @ directions.T).max(1) / (np.linalg.norm(z, axis=1) + 1e-9)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(distance), pa.array(direction)], names=[*batch.schema.names, "distance", "direction"])
+
+    return points.select("doc_id", "language", *FEATURES).mapInArrow(run, schema)
 
 
 def fit(points: DataFrame) -> dict[str, tuple]:
