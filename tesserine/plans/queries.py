@@ -2,10 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from tesserine.session import table
 
-def oracle_sql():
-    return {}
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Current versions of files that the cache does not cover as of the successful runs."""
+    from tesserine.operators.incremental import pending_versions
+
+    # Only whether a module is there matters, so one leaf of it is read instead of the whole tree.
+    cache = spark.read.schema("repo string, path string, content_hash string, run_id bigint, cached_at timestamp, module struct<language:string>").parquet(f"{folder}/module_cache.parquet")
+    return pending_versions(table(spark, folder, "source_files"), cache, table(spark, folder, "scan_runs")).select("file_id")
+
+
+P5_SQL = """
+with cur as (
+  select repo, path, file_id, content, row_number() over (partition by repo, path order by modified_at desc, file_id desc) as k from source_files
+), st as (
+  select c.repo, c.path, regexp_replace(lower(trim(c.content_hash)), '^sha-?256[:=]', '') as h,
+         row_number() over (partition by c.repo, c.path order by c.run_id desc, c.cached_at desc, c.content_hash desc) as k
+  from module_cache c join scan_runs r on r.run_id = c.run_id and r.status = 'success' where c.module is not null
+)
+select cur.file_id from cur left join st on st.repo is not distinct from cur.repo and st.path is not distinct from cur.path and st.k = 1
+where cur.k = 1 and (st.h is null or cur.content is null or st.h <> sha256(cur.content))
+"""
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All core queries by name."""
+    return {"p5_found": p5_found}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL for the core queries."""
+    return {"p5_found": P5_SQL}
