@@ -23,6 +23,20 @@ def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
     return language_shares(table(spark, folder, "source_files"), table(spark, folder, "documents"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Docstrings that hold markup."""
+    from tesserine.llm.markup import docstrings_with_markup
+
+    return docstrings_with_markup(table(spark, folder, "modules"))
+
+
+def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Docstrings as clean text."""
+    from tesserine.llm.markup import clean_docstrings
+
+    return clean_docstrings(table(spark, folder, "modules"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Versions that are not valid in the language of their extension."""
     from tesserine.llm.syntax import invalid_files
@@ -86,7 +100,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of the subpackage by name."""
-    names = [p2_found, p2_shares, p6_found, p6_rates, p7_found, p7_redacted, p8_pack, p8_summary, p9_found, p9_leaks, p10_found]
+    names = [p2_found, p2_shares, p3_found, p3_clean, p6_found, p6_rates, p7_found, p7_redacted, p8_pack, p8_summary, p9_found, p9_leaks, p10_found]
     return {f.__name__: f for f in names}
 
 
