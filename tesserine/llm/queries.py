@@ -37,6 +37,20 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     return clean_docstrings(table(spark, folder, "modules"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Functions and methods whose documentation says something."""
+    from tesserine.llm.pairs import documented_functions
+
+    return documented_functions(table(spark, folder, "source_files"), table(spark, folder, "modules")).select("file_id", "symbol")
+
+
+def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The same functions with documentation and code."""
+    from tesserine.llm.pairs import code_description_pairs
+
+    return code_description_pairs(table(spark, folder, "source_files"), table(spark, folder, "modules"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Versions that are not valid in the language of their extension."""
     from tesserine.llm.syntax import invalid_files
@@ -100,7 +114,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of the subpackage by name."""
-    names = [p2_found, p2_shares, p3_found, p3_clean, p6_found, p6_rates, p7_found, p7_redacted, p8_pack, p8_summary, p9_found, p9_leaks, p10_found]
+    names = [p2_found, p2_shares, p3_found, p3_clean, p4_found, p4_pairs, p6_found, p6_rates, p7_found, p7_redacted, p8_pack, p8_summary, p9_found, p9_leaks, p10_found]
     return {f.__name__: f for f in names}
 
 
