@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserine.session import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """File versions that nobody wrote by hand in their repository."""
+    from tesserine.llm.provenance import not_hand_written
+
+    return not_hand_written(table(spark, folder, "source_files"))
+
+
+def p1_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Kind of every file version: hand-written, generated, minified, vendored or data."""
+    from tesserine.llm.provenance import kinds_of_files
+
+    return kinds_of_files(table(spark, folder, "source_files")).select("file_id", "kind")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Languages other than English in which a file version has a passage."""
     from tesserine.llm.spoken import foreign_languages
@@ -114,7 +128,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of the subpackage by name."""
-    names = [p2_found, p2_shares, p3_found, p3_clean, p4_found, p4_pairs, p6_found, p6_rates, p7_found, p7_redacted, p8_pack, p8_summary, p9_found, p9_leaks, p10_found]
+    names = [p1_found, p1_kinds, p2_found, p2_shares, p3_found, p3_clean, p4_found, p4_pairs, p6_found, p6_rates, p7_found, p7_redacted, p8_pack, p8_summary, p9_found, p9_leaks, p10_found]
     return {f.__name__: f for f in names}
 
 
