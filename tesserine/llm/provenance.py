@@ -2,8 +2,8 @@
 
 Two sets of linear support-vector classifiers, one per kind of file. The first reads the whole content, its leading comment
 masked, as hashed byte n-grams, together with the components of the path; the second reads the leading comment alone, with
-names and versions masked, so that neither can lean on a giveaway name. They are fitted on a bounded sample of ``SAMPLE``
-file versions whose labels come from plain signs (markers in the leading comment, directory and file names, a foreign
+names and versions masked, so that neither can lean on a giveaway name. They are fitted on a bounded sample of about ``SAMPLE``
+file versions (never more than twice that) whose labels come from plain signs (markers in the leading comment, directory and file names, a foreign
 project's name with a version, the shape of the lines); the fit is repeated after files without a sign that the first fit
 takes for one kind have been given up as negatives. Thresholds are set on repositories that training did not see.
 
@@ -171,8 +171,12 @@ class Model:
 
 
 def train(source_files: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit the classifiers on at most ``sample`` file versions, those with the smallest hashes of their ids."""
-    rows = source_files.select("file_id", "repo", "path", "content").where("content is not null and content <> ''").orderBy(F.xxhash64("file_id"), "file_id").limit(sample).collect()
+    """Fit the classifiers on about ``sample`` file versions, drawn by a hash of their ids, so that only they reach the driver."""
+    usable = source_files.where("content is not null and content <> ''")
+    share = min(1.0, sample / max(1, usable.count()))
+    place = F.pmod(F.xxhash64("file_id"), F.lit(1_000_000)) / 1_000_000
+    rows = usable.where(place < share).select("file_id", "repo", "path", "content").limit(2 * sample).collect()
+    rows.sort(key=lambda r: r.file_id)
     unique = {r.file_id: r for r in rows}
     return fit([(r.repo or "", r.path or "", r.content) for r in unique.values()])
 
