@@ -1,41 +1,365 @@
-"""Registry of the core queries."""
+"""Registry of the core queries. Every query runs over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tesserine.config import DEFAULT_EXTENSIONS, DEFAULT_LANGUAGES
+from tesserine.functions import exprs
+from tesserine.operators import documents as docs
+from tesserine.operators import graph, incremental, scan, views
 from tesserine.session import table
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+
+def query(f):
+    """Register a query under its name."""
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _modules(spark: SparkSession, folder: str) -> DataFrame:
+    return views.current_modules(table(spark, folder, "modules"))
+
+
+@query
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Current versions of files that the cache does not cover as of the successful runs."""
-    from tesserine.operators.incremental import pending_versions
-
     # Only whether a module is there matters, so one leaf of it is read instead of the whole tree.
     cache = spark.read.schema("repo string, path string, content_hash string, run_id bigint, cached_at timestamp, module struct<language:string>").parquet(f"{folder}/module_cache.parquet")
-    return pending_versions(table(spark, folder, "source_files"), cache, table(spark, folder, "scan_runs")).select("file_id")
+    return incremental.pending_versions(table(spark, folder, "source_files"), cache, table(spark, folder, "scan_runs")).select("file_id")
+
+
+@query
+def scalar_slug(spark, folder):
+    """Anchors of paths."""
+    return table(spark, folder, "source_files").select("file_id", exprs.slug("path").alias("slug"))
+
+
+@query
+def scalar_path_key(spark, folder):
+    """Paths without suffix, stems and suffixes."""
+    return table(spark, folder, "source_files").select("file_id", exprs.path_key("path").alias("path_key"), exprs.path_stem("path").alias("stem"), exprs.path_suffix("path").alias("suffix"))
+
+
+@query
+def scalar_first_sentence(spark, folder):
+    """First sentences of documents."""
+    return table(spark, folder, "documents").select("doc_id", exprs.first_sentence("text").alias("sentence"))
+
+
+@query
+def scalar_tokens(spark, folder):
+    """Token estimates of documents."""
+    return table(spark, folder, "documents").select("doc_id", exprs.estimate_tokens("text").alias("tokens"))
+
+
+@query
+def scalar_sha256(spark, folder):
+    """Content hashes, and whether the stored one agrees."""
+    s = table(spark, folder, "source_files")
+    return s.select("file_id", exprs.sha256("content").alias("hash"), F.coalesce(F.lower("content_hash") == exprs.sha256("content"), F.lit(False)).alias("agrees"))
+
+
+@query
+def scalar_clean_comment(spark, folder):
+    """Docstrings of modules without comment marks."""
+    return table(spark, folder, "modules").select("file_id", exprs.clean_comment("docstring").alias("doc")).distinct()
+
+
+@query
+def language_lookup(spark, folder):
+    """Files per language of their extension."""
+    return table(spark, folder, "source_files").groupBy(exprs.detect_language("path").alias("language")).agg(F.count("*").alias("n"))
+
+
+@query
+def scan_filter_chain(spark, folder):
+    """Files that pass the scan's predicates, in their order."""
+    return scan.accepted(table(spark, folder, "source_files"), DEFAULT_EXTENSIONS, DEFAULT_LANGUAGES, exclude=("**/test_*.py", "**/tests/**", "**/build/**"), include=("src/", "lib/**", "**/*.go")).select("file_id", "path")
+
+
+@query
+def stats_summary(spark, folder):
+    """Counts over all modules."""
+    return views.stats(_modules(spark, folder))
+
+
+@query
+def stats_by_repo(spark, folder):
+    """Counts per repository."""
+    return views.stats(_modules(spark, folder), "repo")
+
+
+@query
+def mini_signatures(spark, folder):
+    """Signatures of all functions and methods."""
+    return views.functions(_modules(spark, folder)).select("repo", "path", "owner", "owner_ord", "fn_ord", "signature")
+
+
+@query
+def flat_params(spark, folder):
+    """Parameters of all functions and methods."""
+    return views.params(_modules(spark, folder)).groupBy("repo", "path").agg(F.count("*").alias("params"), F.sum(F.when(F.col("is_optional"), 1).otherwise(0)).alias("optional"), F.sum(F.when(F.col("default") != "", 1).otherwise(0)).alias("with_default"))
+
+
+@query
+def flat_classes(spark, folder):
+    """Classes with bases."""
+    return views.classes(_modules(spark, folder)).select("repo", "path", "class_ord", "name", F.array_join("bases", ", ").alias("bases"), "methods")
+
+
+@query
+def flat_constants(spark, folder):
+    """Constants and class variables as lines."""
+    return views.constants(_modules(spark, folder)).select("repo", "path", "owner", "const_ord", "name", "type_hint")
+
+
+@query
+def flat_routes(spark, folder):
+    """Routes as list items."""
+    m = _modules(spark, folder)
+    return m.select("repo", "path", F.posexplode(F.transform("routes", exprs.route_line)).alias("route_ord", "line"))
+
+
+@query
+def env_table(spark, folder):
+    """Environment variables with the files that read them."""
+    return views.env_table(_modules(spark, folder))
+
+
+@query
+def exports_union(spark, folder):
+    """Sorted exports of modules."""
+    return _modules(spark, folder).select("repo", "path", exprs.json_list(exprs.exports()).alias("exports"))
+
+
+@query
+def summary_lines(spark, folder):
+    """Summary line of every module."""
+    return docs.summary_lines(_modules(spark, folder)).select("repo", "path", "line")
+
+
+@query
+def summary_budget_cut(spark, folder):
+    """Lines that stay in each repository's summary within 500 tokens."""
+    return docs.summary_cut(_modules(spark, folder), 500).select("repo", "path", "line", "refs")
+
+
+@query
+def summary_documents(spark, folder):
+    """Summaries of all repositories within 8,000 tokens."""
+    return docs.summary_documents(_modules(spark, folder))
+
+
+@query
+def prune_truncate(spark, folder):
+    """Docstrings cut to their first sentence, per function."""
+    return views.functions(views.truncated(_modules(spark, folder))).select("repo", "path", "owner", "owner_ord", "fn_ord", "docstring")
+
+
+@query
+def prune_drop_private(spark, folder):
+    """Functions and methods left when private ones go."""
+    m = views.without_private(_modules(spark, folder))
+    return m.select("repo", "path", F.size("functions").alias("functions"), F.aggregate("classes", F.lit(0), lambda a, c: a + F.size(c["methods"])).alias("methods"))
+
+
+@query
+def prune_drop_constants(spark, folder):
+    """Tokens of modules with and without constants."""
+    m = _modules(spark, folder)
+    cut = views.without_constants(m).select("repo", "path", exprs.module_tokens().alias("without_constants"))
+    return m.select("repo", "path", exprs.module_tokens().alias("tokens")).join(cut, ["repo", "path"])
+
 
+@query
+def prune_stages(spark, folder):
+    """Stage at which each repository's summary fits 1,500 tokens."""
+    return docs.prune_stage(_modules(spark, folder), 1500, docs.summary_cost)
 
-P5_SQL = """
-with cur as (
-  select repo, path, file_id, content, row_number() over (partition by repo, path order by modified_at desc, file_id desc) as k from source_files
-), st as (
-  select c.repo, c.path, regexp_replace(lower(trim(c.content_hash)), '^sha-?256[:=]', '') as h,
-         row_number() over (partition by c.repo, c.path order by c.run_id desc, c.cached_at desc, c.content_hash desc) as k
-  from module_cache c join scan_runs r on r.run_id = c.run_id and r.status = 'success' where c.module is not null
-)
-select cur.file_id from cur left join st on st.repo is not distinct from cur.repo and st.path is not distinct from cur.path and st.k = 1
-where cur.k = 1 and (st.h is null or cur.content is null or st.h <> sha256(cur.content))
-"""
+
+@query
+def full_document(spark, folder):
+    """Lines of the full documents."""
+    return docs.full_lines(_modules(spark, folder))
+
+
+@query
+def full_document_pruned(spark, folder):
+    """Modules of each repository that stay in a full document of 32,000 tokens."""
+    return docs.pruned(_modules(spark, folder), 32000).select("repo", "path", "stage", "refs")
+
+
+@query
+def mini_document(spark, folder):
+    """Lines of the documents of names and signatures."""
+    return docs.mini_lines(_modules(spark, folder)).select("repo", "path", "line_ord", "line")
+
+
+@query
+def module_details(spark, folder):
+    """Sections of the full documents."""
+    return docs.module_details(_modules(spark, folder)).select("repo", "path", "text")
+
+
+@query
+def diff_semi(spark, folder):
+    """Modules whose file changed after the cache's last successful run began."""
+    last = table(spark, folder, "scan_runs").where("status = 'success'").agg(F.max("started_at").alias("since"))
+    since = last.first().since  # one value
+    changed = table(spark, folder, "source_files").where(F.col("modified_at") > F.lit(since))
+    m = _modules(spark, folder)
+    return m.join(changed.select("repo", "path").distinct(), ["repo", "path"], "left_semi").select("repo", "path", "name")
+
+
+@query
+def dependency_edges(spark, folder):
+    """Edges between modules."""
+    return graph.dependency_edges(_modules(spark, folder))
+
+
+@query
+def dependency_lines(spark, folder):
+    """What each module imports, as a line."""
+    return graph.dependency_lines(_modules(spark, folder)).select("repo", "path", "line")
+
+
+@query
+def reference_counts(spark, folder):
+    """Number of modules that mention each module."""
+    return graph.reference_counts(_modules(spark, folder)).select("repo", "path", "n")
+
+
+@query
+def link_extract(spark, folder):
+    """Links on list lines of documents."""
+    return docs.links(table(spark, folder, "documents"))
+
+
+@query
+def duplicate_anchor(spark, folder):
+    """Anchors that a document repeats."""
+    return docs.duplicate_anchors(table(spark, folder, "documents")).select("doc", "line_no", "anchor", "first_line")
+
+
+@query
+def validate_rules(spark, folder):
+    """Violations of the rules of a summary document."""
+    return docs.violations(table(spark, folder, "documents"))
+
+
+@query
+def cache_hits(spark, folder):
+    """Versions whose parsed module the cache holds: same path, hash and parse options."""
+    return scan.cache_join(table(spark, folder, "source_files"), table(spark, folder, "module_cache")).where("hit").select("file_id")
+
+
+@query
+def cache_misses(spark, folder):
+    """Versions that must be parsed."""
+    return scan.cache_join(table(spark, folder, "source_files"), table(spark, folder, "module_cache")).where("not hit").select("file_id")
+
+
+@query
+def cache_merge(spark, folder):
+    """Rows per repository of the cache after a run: entries of seen files, old ones collected."""
+    return scan.cache_merged(table(spark, folder, "source_files"), table(spark, folder, "module_cache")).groupBy("repo").agg(F.count("*").alias("entries"), F.sum(F.when(F.col("hit"), 1).otherwise(0)).alias("kept"))
+
+
+@query
+def sticky_state(spark, folder):
+    """Last purchase-like event seen by each user before each event."""
+    e = table(spark, folder, "events")
+    return views.carried_forward(e, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "purchase", F.col("event_id")), "last_purchase").select("event_id", "last_purchase")
+
+
+@query
+def head_collapse(spark, folder):
+    """Functions of a class or module with one name, collapsed."""
+    return views.heads_collapsed(views.functions(_modules(spark, folder)).select("repo", "path", "owner", "owner_ord", "fn_ord", "name", "signature")).select("repo", "path", "owner", "owner_ord", "name", "heads")
+
+
+@query
+def receiver_attach(spark, folder):
+    """Orders joined to customers, both kept when unmatched."""
+    orders = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("orders"))
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("key"), "c_name")
+    return views.members_attached(orders, customers, "key").select("key", "orders", "c_name", "synthetic")
+
+
+@query
+def first_match(spark, folder):
+    """First module of each repository under every alias."""
+    return graph.path_aliases(_modules(spark, folder)).select("repo", "alias", "target")
+
+
+@query
+def roundtrip_python(spark, folder):
+    """Python source written from nations, parsed again."""
+    from tesserine.parse.udtf import parse_modules
+
+    n = table(spark, folder, "nation")
+    src = F.concat(F.lit('"""'), "n_name", F.lit('"""\n\nKEY: int = '), F.col("n_nationkey").cast("string"), F.lit("\n\ndef visit_"), F.lower(F.regexp_replace("n_name", "[^A-Za-z]", "_")), F.lit("(region: int = "), F.col("n_regionkey").cast("string"), F.lit(') -> str:\n    """Visit."""\n    return ""\n'))
+    files = n.select(F.lit("tpch").alias("repo"), F.concat("n_name", F.lit(".py")).alias("path"), F.lit("python").alias("language"), src.alias("content"))
+    m = parse_modules(files)
+    return m.select("path", "docstring", F.col("functions")[0]["name"].alias("fn"), F.col("functions")[0]["parameters"][0]["default"].alias("region"), F.col("constants")[0]["value"].alias("key"))
+
+
+@query
+def roundtrip_go(spark, folder):
+    """Go source written from regions, parsed again."""
+    from tesserine.parse.udtf import parse_modules
+
+    r = table(spark, folder, "region")
+    name = F.initcap(F.lower(F.regexp_replace("r_name", "[^A-Za-z]", "")))
+    src = F.concat(F.lit("// Package regions.\npackage regions\n\n// Visit"), name, F.lit(" goes there.\nfunc Visit"), name, F.lit("(key int) string {\n\treturn \"\"\n}\n"))
+    files = r.select(F.lit("tpch").alias("repo"), F.concat("r_name", F.lit(".go")).alias("path"), F.lit("go").alias("language"), src.alias("content"))
+    return parse_modules(files).select("path", "docstring", F.col("functions")[0]["name"].alias("fn"), F.col("functions")[0]["docstring"].alias("doc"), F.col("functions")[0]["return_type"].alias("returns"))
+
+
+@query
+def roundtrip_typescript(spark, folder):
+    """TypeScript source written from parts, parsed again."""
+    from tesserine.parse.udtf import parse_modules
+
+    p = table(spark, folder, "part")
+    key = F.col("p_partkey").cast("string")
+    src = F.concat(F.lit("/** Part "), key, F.lit(" */\nexport async function part"), key, F.lit("(size?: number): Promise<number> { return "), key, F.lit("; }\nexport const SIZE: number = "), key, F.lit(";\n"))
+    files = p.select(F.lit("tpch").alias("repo"), F.concat(F.lit("part"), key, F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"), src.alias("content"))
+    m = parse_modules(files)
+    return m.select("path", F.col("functions")[0]["name"].alias("fn"), F.col("functions")[0]["docstring"].alias("doc"), F.col("functions")[0]["return_type"].alias("returns"), F.col("functions")[0]["is_async"].alias("is_async"))
+
+
+@query
+def parsed_symbols(spark, folder):
+    """Symbols that the parsers find in every file version."""
+    from tesserine.parse.udtf import parse_modules
+
+    m = parse_modules(table(spark, folder, "source_files"), include_private=True, keep=["file_id"])
+    return m.select("file_id", F.size("functions").alias("functions"), F.size("classes").alias("classes"), F.size("constants").alias("constants"), F.size("imports").alias("imports")).dropDuplicates(["file_id"])
+
+
+@query
+def watch_rebuild(spark, folder):
+    """Latest event per user from a stream of the events file, read in micro-batches until it ends."""
+    from tesserine.streaming.watch import latest_by_key
+
+    return latest_by_key(spark, f"{folder}/events.parquet", table(spark, folder, "events").schema, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All core queries by name."""
-    return {"p5_found": p5_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the core queries."""
-    return {"p5_found": P5_SQL}
+    from tesserine.plans.oracle import SQL
+
+    return dict(SQL)
+
