@@ -54,15 +54,20 @@ class Cursor:
 
     def __init__(self, src: str, language: str) -> None:
         self.k = tokenize(src, language)
+        self.n, end = len(self.k.types), len(src)
+        # Extractors look a few tokens ahead; behind the end they find more ends.
+        self.k.types += ["EOF"] * 12
+        self.k.start += [end] * 12
+        self.k.end += [end] * 12
+        self.k.nl += [True] * 12
         self.src, self.t, self.nl = src, self.k.types, self.k.nl
-        self.n = len(self.t)
-        self.match = self._matches()
+        self.match = self._matches() + [self.n - 1] * 12
         self.comment_end = {e: i for i, (_, e) in enumerate(self.k.comments)}
         self._breaks = [m.start() for m in re.finditer("\n", src)]
 
     def _matches(self) -> list[int]:
         out, stack = [self.n - 1] * self.n, []
-        for i, x in enumerate(self.t):
+        for i, x in enumerate(self.t[: self.n]):
             if x in _OPEN:
                 stack.append(i)
             elif x in (")", "]", "}"):

@@ -356,7 +356,7 @@ def parse_kotlin(path: str, src: str, include_private: bool = False) -> dict:
         j, ret = close + 1, ""
         if c.t[j] == ":":
             e = j + 1
-            while e < c.n - 1 and c.t[e] not in ("{", "=") and not (c.nl[e] and e > j + 1):
+            while e < c.n - 1 and c.t[e] not in ("{", "=", "}", ";") and not (c.nl[e] and e > j + 1):
                 e = c.match[e] + 1 if c.t[e] in ("(", "[") else e + 1
             ret, j = c.slice(j + 1, e), e
         end = c.match[j] + 1 if c.t[j] == "{" else _expression_end(c, j)
