@@ -6,7 +6,7 @@ seeds it holds. For such a pair the longest non-overlapping matches are marked a
 three tokens; marked tiles near one another in both texts are chained, changed words inside a chain counting against it.
 
 A pair is reported when one chain spans ``SPAN`` words of the item (or nearly all of a shorter item), at least ``KEPT`` of
-the spanned words match and ``OWN`` of its seeds are matched distinctive ones, or when the tiles together, in any order,
+the spanned words match and ``OWN`` of its distinctive seeds (two at least) are matched, or when the tiles together, in any order,
 cover ``COVERED`` of an item of twenty words or more under the same condition. Distinctive are seeds that at most
 ``max(3, 2 %)`` of the items have: tasks that merely use the same phrases share hardly any. Shuffled words share none.
 
@@ -30,7 +30,7 @@ SHARED = 3
 SPAN = 20
 KEPT = 0.5
 COVERED = 0.5
-OWN = 0.3
+OWN = 0.35
 BLOCK_WORDS = 2_000_000
 _SEED = 3
 _WORD = re.compile(r"[^\W_]+")
@@ -65,10 +65,26 @@ def own_texts(items: DataFrame) -> DataFrame:
     return kept.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "sentence"))), lambda x: x.sentence), " ").alias("text"))
 
 
+def common_seeds(own: DataFrame, total: int) -> set[str]:
+    """Seeds that more than ``max(3, 2 %)`` of the items have.
+
+    Each stands in a fiftieth of the items, so there are at most fifty times as many as an item has words.
+    """
+
+    def run(rows):
+        for r in rows:
+            w = words(r["text"])
+            for seed in {" ".join(w[i : i + _SEED]) for i in range(len(w) - _SEED + 1)}:
+                yield (seed,)
+
+    counted = map_rows(own, run, "seed string", ["text"]).groupBy("seed").agg(F.count("*").alias("n"))
+    return {r.seed for r in counted.where(F.col("n") > max(3, total // 50)).select("seed").collect()}
+
+
 class Items:
     """A block of items, indexed by the hashes of their seeds."""
 
-    def __init__(self, rows: list[tuple[int, str]], total: int) -> None:
+    def __init__(self, rows: list[tuple[int, str]], common: set[str]) -> None:
         import numpy as np
 
         self.ids = [r[0] for r in rows]
@@ -85,8 +101,7 @@ class Items:
                 places.setdefault(h, []).append((k, i))
         self.places = places
         self.hashes = np.array(sorted(places), dtype=np.uint64)
-        rare = max(3, total // 50)
-        self.distinctive = {h for h, p in places.items() if len({k for k, _ in p}) <= rare}
+        self.distinctive = {h for h, p in places.items() if " ".join(self.words[p[0][0]][p[0][1] : p[0][1] + _SEED]) not in common}
         self.own = [[h in self.distinctive for h in self.rolling(t).tolist()] for t in self.tokens]
 
     @staticmethod
@@ -206,10 +221,10 @@ def compare(doc: list[int], item: list[int], seeds: list[tuple[int, int]], own:
     for c in chains:
         _grow(c, doc, item)
         span = c[1] - c[0]
-        if c[4] >= KEPT * span and c[5] >= OWN * (span - 2):
+        if c[4] >= KEPT * span and c[5] >= max(2, OWN * sum(own[c[0] : c[1] - 2])):
             best_span = max(best_span, span)
             leaked = leaked or span >= need
-    leaked = leaked or n >= 20 and covered >= COVERED * n and sum(c[5] for c in chains) >= OWN * (n - 2)
+    leaked = leaked or n >= 20 and covered >= COVERED * n and sum(c[5] for c in chains) >= max(2, OWN * sum(own))
     return covered / max(1, n), best_span, leaked
 
 
@@ -249,11 +264,11 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs (item_id, doc_id, share, span) of items that leaked into documents."""
     own = own_texts(items)
     rows = own.select("item_id", "text").orderBy("item_id")
-    total = rows.count()
+    common = common_seeds(own, rows.count())
     found, block, size = None, [], 0
 
     def search(block):
-        index = Items(block, total)
+        index = Items(block, common)
 
         def run(batch):
             for r in batch:

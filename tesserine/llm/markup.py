@@ -157,7 +157,7 @@ def features_of(text: str, nodes: list[Node]) -> list[list[float]]:
         level = len(raw.strip()) - len(raw.strip().lstrip("#>*:-+="))
         row = [
             min(len(raw), 400), min(len(inner.split()), 40), len(raw) / n, x.begin / n, float(not text[line_at : x.begin].strip()),
-            float(before.isalnum() or before == "_"), float(after.isalnum() or after == "_"), float(before.isspace()), float(after.isspace()),
+            float(before.isalnum() or before in "_)]"), float(after.isalnum() or after == "_"), float(before.isspace()), float(after.isspace()),
             float(bool(core) and (core[0].isspace() or core[-1].isspace())), float(x.pair >= 0), float(known), float(word.isupper()),
             float("=" in raw and x.kind == "tag"), float(bool(re.search(r"\s\w+=", raw))), float("{" in raw),
             sum(c.isdigit() for c in raw) / len(raw), sum(c in "+*/=<>^|&%-" for c in raw) / len(raw), kinds[x.kind], min(children[i], 9), depth[i], min(len(nodes), 40),
@@ -182,7 +182,7 @@ _MARKUP = [
     "\\section{@}", "\\subsection{@ @}", "\\textbf{@} matters.", "\\emph{@} @ @.", "\\begin{itemize}\n\\item @ @.\n\\item \\emph{@} @ @.\n\\end{itemize}", "\\texttt{@}", "$$ T(n) = 2 T(n / 2) + 3 $$", "The cost is $O(n \\log n)$ for $n > 4$ entries.", "Costs $n^2$ steps.", "where $x_i$ is @", "Holds while \\(x \\leq \\alpha\\); @ @.", "\\[ w_i = \\frac{x_i}{\\sum_j x_j} \\]", "See \\cite{@}.", "$\\alpha$ and $\\beta$", "\\begin{equation}\na = b\n\\end{equation}",
 ]
 _PLAIN = [
-    "Accepts list[int] or Map<String, Integer> alike.", "Returns List<String> and Set<@>.", "A vector<int> of @.", "Optional<@> when @.", "Dict<str, List<int>>", "Give <name> and <path> as they were typed.", "Usage: @ <file> [<out>]", "Expects <host>:<port>.", "run <command> with <options>", "Prints <@> to the @.", "Use <your-@> here.", "Needs |a| < |b| and a*b*c > 0.", "Costs 3 * n * m steps, see #42 and C:\\temp.", "a * b * c", "2 * x * y and z", "x < 10 & y > 3.", "if a && b || c", "1 << 3 >> 2", "x = y ** 2 ** 3", "Looks in $HOME and ~/.cache, then C:\\new\\table.", "Reads $PATH and $USER.", "Sets ${HOME} or $TMPDIR and $HOME.", "C:\\Users\\@\\text", "~/.@/@ and ~/@", "Matches \\d+ and \\w* only, never \\n.", "Pattern ^[a-z]+$ and \\s*\\w+", "regex (\\w+)\\.(\\d*)", "A price of $5 or 10% is typical.", "Costs $5 and $10.", "Uses snake_case_names and *args throughout.", "Takes *args and **kwargs.", "Set __slots__ or x_1 if x < 10 & y > 3.", "calls __init__ and __call__ of @", "my_@_@ and _private_name and _@_", "Calls table[i](x) for row[0] to row[9].", "array[1][2] and f[0](y)", "Emits #include <stdio.h> at the top.", "#include <@.h>", "Pass --force or -x to a -3 offset.", "--@ -v", "The page (see https://x.example/@#@) first.", "See https://x.example/@_@_@?a=1&b=2 for more.", "http://x.example/~@/*", ">>> size(3)", ">>> @(1)\n3", ">>> x = @\n>>> x", "$ @ --@", "... @", "@param @ the @ @ to use", "@param @\n@return", ":param @: the @ @", ":param @:\n:return:", ":returns: @", "Args:\n    @: the @ @ to use\n    @_@: the @ to use", "Parameters:\n  @ - the @\n  @ - the @", "Args:\n    @: @ @", "{@inheritDoc}", "{@link @}", "{@code @}", "TODO: @", "...", "-", "n/a", "============", "-----", "@@", "a -> b -> c", "i++ and j--", "@ :: @ -> @", "std::@::@", "@ [optional] @", "@ [0, 1) range", "{@: 1}", "{a, b}", "f(x) = x", "#42", "# of @ left"[:0] or "no. 4", "3.5 times", "@'s @ isn't @'s", "it's ''", "AT&T; @", "R&D", "&@", "*", "**", "5 * 3 = 15", "@*", "*@", "_@", "@_", "`", "a ` b", "~5 @", "~@", "$", "$5", "100$ and 20$", "| @", "@ | @", "|x|", "[@]", "[x] @", "[1] @", "(@)[0]", "a<b", "a<b and c>d", "<", ">", "x > y", "=>", "<-", "<=>", "<@.@>", "T<@>", "fn<T>(x: T)", "&str and &mut @", "'a' and 'b'", "''", "!@", "!= @", "\\n and \\t", "\\@", "end \\", "@: @",
+    "Accepts list[int] or Map<String, Integer> alike.", "Returns List<String> and Set<@>.", "A vector<int> of @.", "Optional<@> when @.", "Dict<str, List<int>>", "Give <name> and <path> as they were typed.", "Usage: @ <file> [<out>]", "Expects <host>:<port>.", "run <command> with <options>", "Prints <@> to the @.", "Use <your-@> here.", "Needs |a| < |b| and a*b*c > 0.", "Costs 3 * n * m steps, see #42 and C:\\temp.", "a * b * c", "2 * x * y and z", "x < 10 & y > 3.", "if a && b || c", "1 << 3 >> 2", "x = y ** 2 ** 3", "Looks in $HOME and ~/.cache, then C:\\new\\table.", "Reads $PATH and $USER.", "Sets ${HOME} or $TMPDIR and $HOME.", "C:\\Users\\@\\text", "~/.@/@ and ~/@", "Matches \\d+ and \\w* only, never \\n.", "Pattern ^[a-z]+$ and \\s*\\w+", "regex (\\w+)\\.(\\d*)", "A price of $5 or 10% is typical.", "Costs $5 and $10.", "Uses snake_case_names and *args throughout.", "Takes *args and **kwargs.", "Set __slots__ or x_1 if x < 10 & y > 3.", "calls __init__ and __call__ of @", "my_@_@ and _private_name and _@_", "Calls table[i](x) for row[0] to row[9].", "array[1][2] and f[0](y)", "Emits #include <stdio.h> at the top.", "#include <@.h>", "Pass --force or -x to a -3 offset.", "--@ -v", "The page (see https://x.example/@#@) first.", "See https://x.example/@_@_@?a=1&b=2 for more.", "http://x.example/~@/*", ">>> size(3)", ">>> @(1)\n3", ">>> x = @\n>>> x", "$ @ --@", "... @", "@param @ the @ @ to use", "@param @\n@return", ":param @: the @ @", ":param @:\n:return:", ":returns: @", "Args:\n    @: the @ @ to use\n    @_@: the @ to use", "Parameters:\n  @ - the @\n  @ - the @", "Args:\n    @: @ @", "{@inheritDoc}", "{@link @}", "{@code @}", "TODO: @", "...", "-", "n/a", "============", "-----", "@@", "a -> b -> c", "i++ and j--", "@ :: @ -> @", "std::@::@", "@ [optional] @", "@ [0, 1) range", "{@: 1}", "{a, b}", "f(x) = x", "f(x)[0](y)", "@[@](@)", "#42", "# of @ left"[:0] or "no. 4", "3.5 times", "@'s @ isn't @'s", "it's ''", "AT&T; @", "R&D", "&@", "*", "**", "5 * 3 = 15", "@*", "*@", "_@", "@_", "`", "a ` b", "~5 @", "~@", "$", "$5", "100$ and 20$", "| @", "@ | @", "|x|", "[@]", "[x] @", "[1] @", "(@)[0]", "a<b", "a<b and c>d", "<", ">", "x > y", "=>", "<-", "<=>", "<@.@>", "T<@>", "fn<T>(x: T)", "&str and &mut @", "'a' and 'b'", "''", "!@", "!= @", "\\n and \\t", "\\@", "end \\", "@: @",
 ]
 
 

@@ -59,7 +59,9 @@ definition <- def:~func\b~ ~[ \t]+~ group? ~[ \t]*~ name:~\w+~ ~(?:\[[^\n(]*\])?
     "java": r"""
 pair <- doc:doc? decorator* definition
 decorator <- ~[ \t]*@(?!interface)[\w.]+~ group? ~[ \t]*\r?\n|[ \t]+~
-definition <- ~[ \t]+~ !reserved def:~(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)[ \t]+)*~ ~(?:<[^()\n]*>[ \t]+)?~ !reserved (~[\w.]+(?:<[^()\n;=]*>)?(?:\[\])*[ \t]+~)? !reserved name:~\w+~ ~[ \t]*~ params:group ~[ \t]*(?:throws[^{;\n]*)?[{;]~
+definition <- ~[ \t]+~ !reserved def:~(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)[ \t]+)*~ ~(?:<[^()\n]*>[ \t]+)?~ !reserved (typed / bare)
+typed <- ~[\w.]+(?:<[^()\n;=]*>)?(?:\[\])*[ \t]+~ !reserved name:~\w+~ ~[ \t]*~ params:group ~[ \t]*(?:throws[^{;\n]*)?[{;]~
+bare <- name:~\w+~ ~[ \t]*~ params:group ~[ \t]*(?:throws[^{;\n]*)?\{~
 reserved <- ~(?:if|for|while|switch|catch|return|throw|new|else|try|do|synchronized[ \t]*\(|assert|super|this)\b~
 """
     + _C_COMMENTS,
@@ -74,7 +76,7 @@ skip <- ~=begin\b[\s\S]*?\n=end[^\n]*\n?~ / ~[^\n]*\n~ / ~[^\n]+~
     "rust": r"""
 pair <- doc:doc? decorator* definition
 decorator <- ~[ \t]*\#\[[^\n]*\][ \t]*\r?\n~
-definition <- ~[ \t]*~ def:~(?:pub(?:\([^)]*\))?[ \t]+)?(?:(?:default|const|async|unsafe|extern(?:[ \t]+\"[^\"]*\")?)[ \t]+)*fn\b~ ~[ \t]+~ name:~\w+~ ~(?:<[^()]*(?:\([^()]*\)[^()]*)*>)?~ params:group
+definition <- ~[ \t]*~ def:~(?:pub(?:\([^)]*\))?[ \t]+)?(?:(?:default|const|async|unsafe|extern(?:[ \t]+\"[^\"]*\")?)[ \t]+)*fn\b~ ~[ \t]+~ name:~\w+~ ~(?:<[^()]*?(?:\([^()]*\)[^()]*?)*?>(?=\())?~ params:group
 """
     + _C_COMMENTS,
 }
