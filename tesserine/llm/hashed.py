@@ -12,6 +12,10 @@ def ngrams(texts: list[bytes], orders: tuple[int, ...], bits: int) -> tuple[np.n
 
     Every text counts as bounded by a space on either side. One pass of array operations serves the whole batch.
     """
+    if len(texts) > 256:  # in parts, so that only the hashes themselves are held for all
+        parts = [ngrams(texts[i : i + 256], orders, bits) for i in range(0, len(texts), 256)]
+        offsets = np.cumsum([0, *(len(h) for h, _ in parts)])
+        return np.concatenate([h for h, _ in parts]), np.concatenate([*(s[:-1] + o for (_, s), o in zip(parts, offsets)), offsets[-1:]])
     padded = [b" " + t + b" " * max(1, max(orders) - len(t) - 1) for t in texts]
     lengths = np.array([len(t) for t in padded], dtype=np.int64)
     data = np.frombuffer(b"".join(padded), dtype=np.uint8).astype(np.uint32)

@@ -22,10 +22,14 @@ from pyspark.sql import functions as F
 from tesserine.session import map_rows
 
 KINDS = ["generated", "minified", "vendored", "data"]
-SAMPLE = 4000
+SAMPLE = 6000
+#: Fits; after each but the last, unlabelled files that look like one kind are given up as negatives.
+TURNS = 3
+#: Weight of the path against the content, except for vendored files, of which the path tells most.
+PATH_WEIGHT = 0.3
 BATCH = 128
 #: Margin per kind from which an unlabelled file is no longer a negative example in the second fit.
-DOUBT = [-0.6, 0.0, 0.6, -0.3]
+DOUBT = [-1.0, 0.0, 0.6, -0.3]
 _BITS, _ORDERS, _HEAD_BITS, _HEAD_ORDERS = 16, (3, 5), 14, (4, 6)
 #: Further margin that a path alone needs to tell a vendored file.
 CLEAR = 0.6
@@ -209,17 +213,17 @@ def fit(rows: list[tuple[str, str, str]]) -> Model:
         return train_hinge([items[i] for i in at], y[at], len(KINDS), orders, bits, epochs=epochs)
 
     keep = ~held
-    for turn in (0, 1):
+    for turn in range(TURNS):
         content = learn(keep, labels, texts, _ORDERS, _BITS, 3) * 0.5
         path = learn(keep, labels, paths, _HEAD_ORDERS, _HEAD_BITS, 5)
         shape = learn(keep, labels, shapes, _HEAD_ORDERS, _HEAD_BITS, 5)
-        path[:, [0, 1, 3]] *= 0.3
+        path[:, [0, 1, 3]] *= PATH_WEIGHT
         content[:, 2] = shape[:, 2] = 0  # a vendored file reads like any other; path and leading comment tell
         head = learn(keep & has_head, head_labels, heads, _HEAD_ORDERS, _HEAD_BITS, 5)
         z = score_texts(content, texts, _ORDERS, _BITS) + score_texts(path, paths, _HEAD_ORDERS, _HEAD_BITS) + score_texts(shape, shapes, _HEAD_ORDERS, _HEAD_BITS)
         y = score_texts(head, heads, _HEAD_ORDERS, _HEAD_BITS)
         y[~has_head] = -1
-        if turn == 0:
+        if turn < TURNS - 1:
             doubtful = (labels.sum(1) == 0) & ((z > np.array(DOUBT)).any(1) | (y > np.array(DOUBT)).any(1))
             keep = ~held & ~doubtful
     any_label = labels.any(1)
