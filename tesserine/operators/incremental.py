@@ -67,10 +67,11 @@ class IncrementalTable:
         return self.spark.read.schema(schema).parquet(f"{self.folder}/fingerprints").where("n is not null")
 
     def result(self, schema=None) -> DataFrame:
-        """The result table; ``schema`` is needed before the first run."""
+        """The result table; ``schema`` is needed before the first run and where every partition may be empty."""
         if not self._exists("result"):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.folder}/result")
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(f"{self.folder}/result")
 
     def run(self, source: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> int:
         """Bring the result up to date; ``compute`` gets the records of changed partitions and must keep ``part``. Returns how many partitions changed."""
@@ -110,8 +111,10 @@ def pending_versions(source_files: DataFrame, module_cache: DataFrame, scan_runs
 
     Both sides are fingerprinted per partition; rows are compared only in partitions whose fingerprints differ.
     """
-    current = stored(with_partition(current_versions(source_files), ["repo", "path"], partitions), "p5-current")
-    state = stored(with_partition(stored_state(module_cache, scan_runs), ["repo", "path"], partitions), "p5-state")
+    # Missing contents and missing hashes must not agree, in fingerprints as little as in rows.
+    present = lambda df, none: df.withColumn("hash", F.coalesce("hash", F.lit(none)))
+    current = stored(with_partition(present(current_versions(source_files), "no content"), ["repo", "path"], partitions), "p5-current")
+    state = stored(with_partition(present(stored_state(module_cache, scan_runs), "no hash"), ["repo", "path"], partitions), "p5-state")
     columns = ["repo", "path", "hash"]
     changed = changed_partitions(fingerprints(current, columns), fingerprints(state, columns))
     s = state.alias("s")
