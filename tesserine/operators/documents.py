@@ -204,6 +204,19 @@ def prune_stage(modules: DataFrame, max_tokens: int, cost: Callable[[DataFrame],
     return modules.select("repo").distinct().join(fit, "repo", "left").select("repo", F.coalesce("stage", F.lit(4)).alias("stage"))
 
 
+def prune_counters(modules: DataFrame) -> DataFrame:
+    """What the stages would change per repository: docstrings longer than their first sentence, constants, private symbols."""
+    cut = lambda d: F.when((d != "") & (d != exprs.first_sentence(d)), 1).otherwise(0)
+    total = lambda items, one: F.aggregate(items, F.lit(0), lambda a, x: a + one(x))
+    of_class = lambda c: cut(c["docstring"]) + total(c["methods"], lambda f: cut(f["docstring"]))
+    private = lambda f: F.when(f["is_private"], 1).otherwise(0)
+    return modules.groupBy("repo").agg(
+        F.sum(cut(F.col("docstring")) + total("functions", lambda f: cut(f["docstring"])) + total("classes", of_class)).alias("docstrings"),
+        F.sum(F.size("constants") + total("classes", lambda c: F.size(c["class_vars"]))).alias("constants"),
+        F.sum(total("functions", private) + total("classes", lambda c: total(c["methods"], private))).alias("private"),
+    )
+
+
 def detail_cost(modules: DataFrame) -> DataFrame:
     """Characters of the module sections per repository."""
     return module_details(modules).groupBy("repo").agg(F.sum(F.length("text") + 1).alias("chars"))

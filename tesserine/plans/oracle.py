@@ -144,6 +144,8 @@ select repo, path, line, case when fits then 0 else refs end as refs from ranked
     "prune_drop_constants": f"with {CM} select repo, path, {_tokens()} as tokens, {_tokens('list_slice(constants, 1, 0)')} as without_constants from cm",
     "diff_semi": f"with {CM}, changed as (select distinct repo, path from source_files where modified_at > (select max(started_at) from scan_runs where status = 'success')) select repo, path, name from cm where exists (select 1 from changed c where c.repo = cm.repo and c.path = cm.path)",
     "dependency_edges": f"with {_EDGES} select repo, src, dst from edges",
+    "dependency_tpch": "select 'tpch' as repo, 'geo/nations/' || n_name || '.py' as src, 'geo/' || r_name || '.py' as dst from nation join region on n_regionkey = r_regionkey",
+    "duplicate_anchor_tpch": "with l as (select c_mktsegment as doc, 'n' || c_nationkey as anchor, cast(row_number() over (partition by c_mktsegment order by c_custkey) as integer) as line_no from customer), f as (select *, min(line_no) over (partition by doc, anchor) as first_line from l) select doc, line_no, anchor, first_line from f where line_no > first_line",
     "dependency_lines": f"with {_EDGES}, grouped as (select repo, src as path, string_agg('`' || dst || '`', ', ' order by dst) as targets from edges group by repo, src) select cm.repo, cm.path, '`' || cm.path || '` imports: ' || coalesce(targets, '(none — leaf node)') as line from cm left join grouped g on g.repo = cm.repo and g.path = cm.path",
     "first_match": f"with {CM}, {_ALIASES} select repo, alias, target from aliases",
     "reference_counts": f"with {CM}, {_counts(_REF_FULL)} select repo, path, n from counts",
@@ -162,3 +164,22 @@ select repo, path, line, case when fits then 0 else refs end as refs from ranked
     "roundtrip_typescript": "select 'part' || p_partkey || '.ts' as path, 'part' || p_partkey as fn, 'Part ' || p_partkey as doc, 'Promise<number>' as returns, true as is_async from part",
     "watch_rebuild": "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1",
 }
+
+_CUT = "(case when {0} <> '' and {0} <> {1} then 1 else 0 end)"
+_cut = lambda d: _CUT.format(d, _first(d))
+SQL["prune_counters"] = f"""with {CM} select repo,
+ sum({_cut("docstring")} + coalesce(list_sum(list_transform(functions, lambda f: {_cut("f.docstring")})), 0) + coalesce(list_sum(list_transform(classes, lambda c: {_cut("c.docstring")} + coalesce(list_sum(list_transform(c.methods, lambda f: {_cut("f.docstring")})), 0))), 0)) as docstrings,
+ sum(len(constants) + coalesce(list_sum(list_transform(classes, lambda c: len(c.class_vars))), 0)) as constants,
+ sum(len(list_filter(functions, lambda f: f.is_private)) + coalesce(list_sum(list_transform(classes, lambda c: len(list_filter(c.methods, lambda f: f.is_private)))), 0)) as private
+ from cm group by repo"""
+
+
+def _round_trips() -> dict[str, str]:
+    from tesserine.plans.queries import ROUND_TRIPS
+
+    name = "regexp_replace(n_name, '[^A-Za-z]', '', 'g')"
+    name = f"(upper({name}[1:1]) || lower({name}[2:]))"
+    return {f"roundtrip_{k}": f"select {name} || '{suffix}' as path, {name} as cls, {name} || ' doc.' as doc, '{method}' as method, 'Visits.' as method_doc, '{params}' as params, cast(n_nationkey as varchar) as key from nation" for k, (suffix, _, method, params) in ROUND_TRIPS.items()}
+
+
+SQL |= _round_trips()

@@ -223,6 +223,26 @@ def dependency_edges(spark, folder):
     return graph.dependency_edges(_modules(spark, folder))
 
 
+@query
+def dependency_tpch(spark, folder):
+    """Edges between modules made of nations and regions, imported by dotted and by relative name."""
+    r = table(spark, folder, "region").select(F.lit("tpch").alias("repo"), F.concat(F.lit("geo/"), "r_name", F.lit(".py")).alias("path"), F.col("r_regionkey").cast("bigint").alias("module_ord"), F.array(F.lit("os")).alias("imports"))
+    n = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    name = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("geo."), "r_name")).otherwise(F.concat(F.lit(".."), "r_name"))
+    n = n.select(F.lit("tpch").alias("repo"), F.concat(F.lit("geo/nations/"), "n_name", F.lit(".py")).alias("path"), (F.col("n_nationkey") + 100).cast("bigint").alias("module_ord"), F.array(F.lit("sys"), name, name).alias("imports"))
+    return graph.dependency_edges(r.unionByName(n))
+
+
+@query
+def duplicate_anchor_tpch(spark, folder):
+    """Repeated anchors in one document per customer segment, with a line per customer that anchors its nation."""
+    c = table(spark, folder, "customer")
+    line = F.concat(F.lit('<a id="n'), F.col("c_nationkey").cast("string"), F.lit('"></a> '), "c_name")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("l")))), lambda x: x["l"]), "\n")
+    d = c.groupBy(F.col("c_mktsegment").alias("doc_id")).agg(text.alias("text"))
+    return docs.duplicate_anchors(d).select("doc", "line_no", "anchor", "first_line")
+
+
 @query
 def dependency_lines(spark, folder):
     """What each module imports, as a line."""
@@ -335,6 +355,50 @@ def roundtrip_typescript(spark, folder):
     return m.select("path", F.col("functions")[0]["name"].alias("fn"), F.col("functions")[0]["docstring"].alias("doc"), F.col("functions")[0]["return_type"].alias("returns"), F.col("functions")[0]["is_async"].alias("is_async"))
 
 
+# Source text per language, written from a nation's name and key and parsed again: (suffix, text, method, parameters).
+ROUND_TRIPS = {
+    "java": (".java", '/** {n} doc. */\npublic class {n} {{\n    public static final int KEY = {k};\n    /** Visits. */\n    public String visit(int region) {{ return null; }}\n}}\n', "visit", "region"),
+    "csharp": (".cs", 'namespace A {{\n    /// <summary>{n} doc.</summary>\n    public class {n} {{\n        public const int Key = {k};\n        /// <summary>Visits.</summary>\n        public string Visit(int region) {{ return null; }}\n    }}\n}}\n', "Visit", "region"),
+    "rust": (".rs", "/// {n} doc.\npub struct {n} {{ pub key: i32 }}\nimpl {n} {{\n    /// Visits.\n    pub fn visit(&self, region: i32) -> String {{ x }}\n}}\npub const KEY: i32 = {k};\n", "visit", "&self, region"),
+    "cpp": (".cpp", "/// {n} doc.\nclass {n} : public Base {{\npublic:\n    int key = {k};\n    /// Visits.\n    int visit(int region) {{ return 1; }}\n}};\n", "visit", "region"),
+    "scala": (".scala", '/** {n} doc. */\nclass {n} extends Base {{\n  val key: Int = {k}\n  /** Visits. */\n  def visit(region: Int): String = ""\n}}\n', "visit", "region"),
+    "kotlin": (".kt", '/** {n} doc. */\nclass {n}(val key: Int = {k}) : Base() {{\n    /** Visits. */\n    fun visit(region: Int): String {{ return "" }}\n}}\n', "visit", "region"),
+    "swift": (".swift", '/// {n} doc.\nclass {n}: Base {{\n    /// Visits.\n    func visit(region: Int) -> String {{ return "" }}\n}}\nlet KEY: Int = {k}\n', "visit", "region"),
+    "php": (".php", "<?php\n\n/** {n} doc. */\nclass {n} extends Base {{\n    const KEY = {k};\n    /** Visits. */\n    public function visit(int $region): string {{ return ''; }}\n}}\n", "visit", "$region"),
+    "ruby": (".rb", "# {n} doc.\nclass {n} < Base\n  KEY = {k}\n  # Visits.\n  def visit(region)\n    1\n  end\nend\n", "visit", "region"),
+    "elixir": (".ex", 'defmodule {n} do\n  @moduledoc "{n} doc."\n  @key {k}\n  @doc "Visits."\n  def visit(region) do\n    1\n  end\nend\n', "visit", "region"),
+}
+
+
+def _round_trip(language: str):
+    suffix, text, _, _ = ROUND_TRIPS[language]
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        from tesserine.parse.udtf import parse_modules
+
+        name = F.initcap(F.lower(F.regexp_replace("n_name", "[^A-Za-z]", "")))
+        src = F.lit(text.replace("{{", "{").replace("}}", "}").replace("{n}", "\x00").replace("{k}", "\x01"))
+        src = F.replace(F.replace(src, F.lit("\x00"), name), F.lit("\x01"), F.col("n_nationkey").cast("string"))
+        files = table(spark, folder, "nation").select(F.lit("tpch").alias("repo"), F.concat(name, F.lit(suffix)).alias("path"), F.lit(language).alias("language"), src.alias("content"))
+        c = F.col("classes")[0]
+        m = c["methods"][0]
+        values = F.concat(F.transform(c["class_vars"], lambda v: v["value"]), F.transform("constants", lambda v: v["value"]))
+        return parse_modules(files).select("path", c["name"].alias("cls"), c["docstring"].alias("doc"), m["name"].alias("method"), m["docstring"].alias("method_doc"), F.array_join(F.transform(m["parameters"], lambda p: p["name"]), ", ").alias("params"), F.coalesce(F.element_at(F.filter(values, lambda v: v != ""), -1), F.lit("")).alias("key"))
+
+    run.__doc__ = f"{language} source written from nations, parsed again."
+    return run
+
+
+for _language in ROUND_TRIPS:
+    QUERIES[f"roundtrip_{_language}"] = _round_trip(_language)
+
+
+@query
+def prune_counters(spark, folder):
+    """Docstrings that would be cut, constants and private symbols that would go, per repository."""
+    return docs.prune_counters(_modules(spark, folder))
+
+
 @query
 def parsed_symbols(spark, folder):
     """Symbols that the parsers find in every file version."""
