@@ -103,8 +103,7 @@ class Walker:
                     continue
                 k = names[-1]
                 kind = c.slice(x, k)
-                variadic = kind.endswith("...")
-                out.append(param(c.text(k), kind if k > x else ("" if self.language == "php" else c.text(k)), default, variadic and False))
+                out.append(param(c.text(k), kind if k > x else ("" if self.language == "php" else c.text(k)), default))
         return out
 
     def type_end(self, i: int, stops: tuple[str, ...]) -> int:
@@ -133,7 +132,7 @@ def parse_java(path: str, src: str, include_private: bool = False) -> dict:
         i += 2 if kind == "@interface" else 1
         name = (outer + "." if outer else "") + c.text(i)
         i = c.skip_angle(i + 1)
-        fields, bases, methods, inner = [], [], [], []
+        fields, bases, methods = [], [], []
         if c.t[i] == "(":
             for p in w.params(i + 1, c.match[i]):
                 fields.append(constant(p["name"], p["type_hint"], ""))
@@ -161,9 +160,7 @@ def parse_java(path: str, src: str, include_private: bool = False) -> dict:
             start = j
             notes_m, mods_m, k = w.head(j)
             if c.text(k) in ("class", "interface", "enum") or c.text(k) == "@" and c.text(k + 1) == "interface" or c.text(k) == "record" and c.t[k + 1] == "ID" and c.t[k + 2] in ("(", "<"):
-                before = len(out["classes"])
                 j = types(start, stop, name)
-                inner.append(before)
                 continue
             if c.t[k] == "{":
                 j = c.match[k] + 1
@@ -191,7 +188,7 @@ def parse_java(path: str, src: str, include_private: bool = False) -> dict:
                         hint = c.slice(k, p - 1) if x == k else fields[-1]["type_hint"] if fields else ""
                         fields.append(constant(label, hint, c.slice(eq + 1, y) if eq >= 0 else ""))
                 j = e + 1
-        if exported(mods, bool(outer) and False):
+        if exported(mods, False):
             out["classes"].append(class_(name, c.doc(begun, r"/\*\*"), bases, methods, fields, c.line(begun)))
         return stop + 1
 
@@ -413,7 +410,6 @@ def parse_kotlin(path: str, src: str, include_private: bool = False) -> dict:
                 if c.t[g] == ":" and not companion:
                     made["bases"] = [c.slice(p, q) for p, q in c.split(g + 1, b)]
                 keep = include_private or not hidden(mods)
-                at = len(out["classes"])
                 if keep and not (companion and owner):
                     out["classes"].append(made)
                 if b < end and c.t[b] == "{":
@@ -428,7 +424,6 @@ def parse_kotlin(path: str, src: str, include_private: bool = False) -> dict:
                     i = c.match[b] + 1
                 else:
                     i = max(b, k + 1)
-                _ = at
             else:
                 i = c.match[i] + 1 if c.t[i] in "([{" and c.match[i] < c.n - 1 else max(k, i + 1)
 
@@ -573,7 +568,7 @@ def parse_php(path: str, src: str, include_private: bool = False) -> dict:
                 f, i = fun(k, start, mods)
                 if shown(mods):
                     (owner["methods"] if owner else out["functions"]).append(f)
-            elif x in w.types and c.t[k + 1] == "ID" and (k == i or mods or x != "enum" or True) and c.t[k - 1] != "::":
+            elif x in w.types and c.t[k + 1] == "ID" and c.t[k - 1] != "::":
                 b = c.find(k, end, "{")
                 if b < 0:
                     return
@@ -715,7 +710,7 @@ def parse_scala(path: str, src: str, include_private: bool = False) -> dict:
                     g = c.match[g] + 1
                 fields, case = [], "case" in mods
                 while c.t[g] == "(":
-                    if case or True:
+                    if c.t[g] == "(":
                         for p, q in c.split(g + 1, c.match[g]):
                             _, m2, p2 = w.head(p)
                             declared = c.text(p2) in ("val", "var")

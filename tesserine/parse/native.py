@@ -88,10 +88,10 @@ def parse_rust(path: str, src: str, include_private: bool = False) -> dict:
             made = class_(name + (generics if x == "trait" else ""), doc(start), [s.strip() for s in c.slice(colon + 1, b).split("+")] if x == "trait" and colon >= 0 and t[g] == ":" else [], [], [], c.line(k))
             if t[b] in ("{", "("):
                 for p, q in c.split(b + 1, c.match[b]):
-                    _, pub, p2 = head(p)
+                    _, _, p2 = head(p)
                     if x == "struct" and t[b] == "{":
                         e = c.find(p2, q, ":")
-                        if e >= 0 and (pub or include_private or True):
+                        if e >= 0:
                             made["class_vars"].append(constant(c.slice(p2, e), c.slice(e + 1, q)))
                     elif x == "struct":
                         made["class_vars"].append(constant(str(len(made["class_vars"])), c.slice(p2, q)))

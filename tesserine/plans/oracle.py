@@ -145,7 +145,7 @@ select repo, path, line, case when fits then 0 else refs end as refs from ranked
     "diff_semi": f"with {CM}, changed as (select distinct repo, path from source_files where modified_at > (select max(started_at) from scan_runs where status = 'success')) select repo, path, name from cm where exists (select 1 from changed c where c.repo = cm.repo and c.path = cm.path)",
     "dependency_edges": f"with {_EDGES} select repo, src, dst from edges",
     "dependency_tpch": "select 'tpch' as repo, 'geo/nations/' || n_name || '.py' as src, 'geo/' || r_name || '.py' as dst from nation join region on n_regionkey = r_regionkey",
-    "duplicate_anchor_tpch": "with l as (select c_mktsegment as doc, 'n' || c_nationkey as anchor, cast(row_number() over (partition by c_mktsegment order by c_custkey) as integer) as line_no from customer), f as (select *, min(line_no) over (partition by doc, anchor) as first_line from l) select doc, line_no, anchor, first_line from f where line_no > first_line",
+    "duplicate_anchor_tpch": "with l as (select cast(c_custkey // 200 as varchar) as doc, 'n' || c_nationkey as anchor, cast(row_number() over (partition by c_custkey // 200 order by c_custkey) as integer) as line_no from customer), f as (select *, min(line_no) over (partition by doc, anchor) as first_line from l) select doc, line_no, anchor, first_line from f where line_no > first_line",
     "dependency_lines": f"with {_EDGES}, grouped as (select repo, src as path, string_agg('`' || dst || '`', ', ' order by dst) as targets from edges group by repo, src) select cm.repo, cm.path, '`' || cm.path || '` imports: ' || coalesce(targets, '(none — leaf node)') as line from cm left join grouped g on g.repo = cm.repo and g.path = cm.path",
     "first_match": f"with {CM}, {_ALIASES} select repo, alias, target from aliases",
     "reference_counts": f"with {CM}, {_counts(_REF_FULL)} select repo, path, n from counts",

@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Settings that suit the engine; a session that has them set otherwise keeps its own.
 DEFAULTS = {
@@ -62,7 +61,6 @@ def map_rows(df: DataFrame, f: Callable[[Iterator[dict]], Iterable[tuple]], sche
     Only ``columns`` reach Python. Results are sent on in batches of 2,048 rows, so memory follows the batch, not the partition.
     """
     source = df.select(*columns) if columns else df
-    spark = df.sparkSession
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -89,10 +87,5 @@ def map_rows(df: DataFrame, f: Callable[[Iterator[dict]], Iterable[tuple]], sche
         if held:
             yield emit(held)
 
-    _ = spark
     return source.mapInArrow(run, parsed)
 
-
-def hot_safe_distinct(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct rows by ``keys``; Spark combines before the shuffle, so a repeated row travels once per task."""
-    return df.groupBy(*keys).agg(F.lit(1).alias("__one")).drop("__one")
