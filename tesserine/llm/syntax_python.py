@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserine.llm.syntax_base import Checker
+from tesserine.llm.syntax_base import Checker, Unexpected
 
 # Binding strength of the binary operators.
 _BINARY = {"or": 1, "and": 2, "in": 4, "is": 4, "<": 4, ">": 4, "<=": 4, ">=": 4, "==": 4, "!=": 4, "|": 5, "^": 6, "&": 7, "<<": 8, ">>": 8, "+": 9, "-": 9, "*": 10, "/": 10, "//": 10, "%": 10, "@": 10, "**": 12}
@@ -31,13 +31,9 @@ class PythonChecker(Checker):
         if f:
             f(self)
         elif x in ("INDENT", "DEDENT"):
+            if x == "INDENT":
+                self.errors.append((self.k.start[self.i], "unexpected indent"))
             self.i += 1
-            if x == "INDENT" or self.loose:
-                self.loose += 1 if x == "INDENT" else -1
-                if x == "INDENT":
-                    self.i -= 1
-                    self.i += 1
-                    self.errors.append((self.k.start[self.i - 1], "unexpected indent"))
         elif x == "ID" and t[self.i + 1] not in ("=", ".", "(", "NL", ",") and self.text() in ("match", "type") and self.soft():
             pass
         elif x == "ID" and self.text() == "match" and t[self.i + 1] == "(" and self.attempt(self.match_):
@@ -45,8 +41,6 @@ class PythonChecker(Checker):
         else:
             self.simple_line()
 
-    loose = 0
-
     def soft(self) -> bool:
         if self.text() == "type" and self.t[self.i + 1] == "ID":
             self.i += 2
@@ -460,8 +454,6 @@ class PythonChecker(Checker):
                 self.expr()
                 named = True
             else:
-                if named and False:
-                    self.fail()
                 self.named()
                 if t[self.i] in ("for", "async"):
                     self.comprehension()
@@ -541,8 +533,6 @@ class PythonChecker(Checker):
         self.deep += 1
         while t[self.i] not in ("DEDENT", "EOF"):
             begun = self.i
-            from tesserine.llm.syntax_base import Unexpected
-
             try:
                 self.statement()
             except Unexpected as e:

@@ -21,9 +21,6 @@ class RubyChecker(Checker):
     SYNC = frozenset("def class module if unless while until case begin return end".split())
     no_do = False
 
-    def program(self):
-        return super().program()
-
     def ended(self) -> bool:
         x = self.t[self.i]
         return x == ";" or x in _END or self.nl[self.i] and x not in (".", "&.")
@@ -222,7 +219,7 @@ class RubyChecker(Checker):
         tight = self.k.start[i + 1] == self.k.end[i] if i + 1 < len(t) else False
         if x in ("[", "*", "&", "-", "**", "::", ":") and tight:
             return x != ":"
-        return x == "(" and False
+        return False
 
     def command_arguments(self) -> None:
         t = self.t
@@ -230,7 +227,7 @@ class RubyChecker(Checker):
         self.in_arguments += 1
         while True:
             self.argument()
-            if t[self.i] != "," or False:
+            if t[self.i] != ",":
                 break
             self.i += 1
         self.in_arguments -= 1
@@ -270,8 +267,6 @@ class RubyChecker(Checker):
                 self.i += 1
                 break
             self.argument()
-            if t[self.i] == "for" and False:
-                self.fail()
             if t[self.i] != close:
                 self.need(",")
         self.in_arguments -= 1
