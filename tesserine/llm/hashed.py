@@ -140,13 +140,17 @@ def _take(hashes, starts, chosen):
 
 
 def _step(w, past, h, s, g, rate):
+    """One AdaGrad step from the gradients ``g`` of the scores of a batch; texts without gradient are left out."""
     n = np.diff(s)
-    per = g / np.sqrt(np.maximum(1, n))[:, None]
-    spread = np.repeat(per, n, axis=0)
-    used, place = np.unique(h, return_inverse=True)
+    active = np.nonzero((g != 0).any(1) & (n > 0))[0]
+    if not len(active):
+        return
+    if len(active) < len(n):
+        h, s = _take(h, s, active)
+        n, g = np.diff(s), g[active]
+    spread = np.repeat(g / np.sqrt(n)[:, None], n, axis=0)
     for c in range(w.shape[1]):
-        if not g[:, c].any():
-            continue
-        d = np.bincount(place, weights=spread[:, c], minlength=len(used)).astype(np.float32)
-        past[used, c] += d * d
-        w[used, c] -= rate * d / np.sqrt(past[used, c])
+        if g[:, c].any():
+            d = np.bincount(h, weights=spread[:, c], minlength=len(w)).astype(np.float32)
+            past[:, c] += d * d
+            w[:, c] -= rate * d / np.sqrt(past[:, c])
