@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserine.session import table
 
 
+# Nested fields that a query needs; Spark prunes no fields inside arrays that pass through transform, so the scan is told.
+_DOCS = "file_id bigint, docstring string, functions array<struct<name:string,docstring:string>>, classes array<struct<name:string,docstring:string,methods:array<struct<name:string,docstring:string>>>>"
+_FN = "struct<name:string,parameters:array<struct<name:string>>,docstring:string,line:int>"
+_FUNCTIONS = f"file_id bigint, functions array<{_FN}>, classes array<struct<name:string,methods:array<{_FN}>>>"
+_CONSTANT = "struct<name:string,value:string>"
+_CONSTANTS = f"repo string, constants array<{_CONSTANT}>, classes array<struct<class_vars:array<{_CONSTANT}>>>"
+
+
+def _modules(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{folder}/modules.parquet")
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """File versions that nobody wrote by hand in their repository."""
     from tesserine.llm.provenance import not_hand_written
@@ -41,28 +53,28 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Docstrings that hold markup."""
     from tesserine.llm.markup import docstrings_with_markup
 
-    return docstrings_with_markup(table(spark, folder, "modules"))
+    return docstrings_with_markup(_modules(spark, folder, _DOCS))
 
 
 def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Docstrings as clean text."""
     from tesserine.llm.markup import clean_docstrings
 
-    return clean_docstrings(table(spark, folder, "modules"))
+    return clean_docstrings(_modules(spark, folder, _DOCS))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Functions and methods whose documentation says something."""
     from tesserine.llm.pairs import documented_functions
 
-    return documented_functions(table(spark, folder, "source_files"), table(spark, folder, "modules")).select("file_id", "symbol")
+    return documented_functions(table(spark, folder, "source_files"), _modules(spark, folder, _FUNCTIONS)).select("file_id", "symbol")
 
 
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """The same functions with documentation and code."""
     from tesserine.llm.pairs import code_description_pairs
 
-    return code_description_pairs(table(spark, folder, "source_files"), table(spark, folder, "modules"))
+    return code_description_pairs(table(spark, folder, "source_files"), _modules(spark, folder, _FUNCTIONS))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,14 +95,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines on which a secret begins."""
     from tesserine.llm.secrets import find_secrets
 
-    return find_secrets(table(spark, folder, "source_files"), table(spark, folder, "modules"))
+    return find_secrets(table(spark, folder, "source_files"), _modules(spark, folder, _CONSTANTS))
 
 
 def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Files that hold secrets, with the secrets masked."""
     from tesserine.llm.secrets import redacted_files
 
-    return redacted_files(table(spark, folder, "source_files"), table(spark, folder, "modules"))
+    return redacted_files(table(spark, folder, "source_files"), _modules(spark, folder, _CONSTANTS))
 
 
 def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
