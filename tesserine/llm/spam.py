@@ -45,8 +45,8 @@ _DIRECTIONS = [
 ]
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+")
 _TAG = re.compile(r"(?<!\w)#\w+")
-_WORD = re.compile(r"#?\w+")
-_SEGMENT = re.compile(r"((?:[^.!?:\n。！？]|\.(?=\d)|:(?=//))+)([.!?:。！？]?)")
+_SPLIT = re.compile(r"([.!?:](?=\s|$)|[。！？]|\n)")
+_BLANKED = str.maketrans({c: " " for c in "\"$%&'()*+,-/;<=>@[\\]^`{|}~’‘“”«»„–—·•…，；、：（）《》"})
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _SEPARATORS = ",;|/·•>，；"
 
@@ -64,7 +64,8 @@ def page_features(text: str | None, label: str | None) -> tuple[str, list[float]
         text, links = _URL.subn(" ", text)
     separators = sum(map(text.count, _SEPARATORS))
     tags = len(_TAG.findall(text)) if "#" in text else 0
-    segments = [(_WORD.findall(x), bool(end)) for x, end in _SEGMENT.findall(text)]
+    pieces = _SPLIT.split(text.translate(_BLANKED))
+    segments = [(w, end != "\n" and end != "") for x, end in zip(pieces[::2], [*pieces[1::2], ""]) if (w := x.split())]
     words = list(chain.from_iterable(x for x, _ in segments))
     n = len(words)
     total = n + links
