@@ -46,7 +46,9 @@ _DIRECTIONS = [
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+")
 _TAG = re.compile(r"(?<!\w)#\w+")
 _SPLIT = re.compile(r"([.!?:](?=\s|$)|[。！？]|\n)")
-_BLANKED = str.maketrans({c: " " for c in "\"$%&'()*+,-/;<=>@[\\]^`{|}~’‘“”«»„–—·•…，；、：（）《》"})
+_MARKS = b"\"$%&'()*+,-/;<=>@[\\]^`{|}~"
+_BLANKED = bytes.maketrans(_MARKS, b" " * len(_MARKS))
+_OTHER_MARKS = "’‘“”«»„–—·•…，；、：（）《》"
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _SEPARATORS = ",;|/·•>，；"
 
@@ -64,7 +66,13 @@ def page_features(text: str | None, label: str | None) -> tuple[str, list[float]
         text, links = _URL.subn(" ", text)
     separators = sum(map(text.count, _SEPARATORS))
     tags = len(_TAG.findall(text)) if "#" in text else 0
-    pieces = _SPLIT.split(text.translate(_BLANKED))
+    # Bytes are translated by a table of 256, which is far quicker than characters by a mapping.
+    plain = text.encode("utf-8", "replace").translate(_BLANKED).decode("utf-8")
+    if not plain.isascii():
+        for c in _OTHER_MARKS:
+            if c in plain:
+                plain = plain.replace(c, " ")
+    pieces = _SPLIT.split(plain)
     segments = [(w, end != "\n" and end != "") for x, end in zip(pieces[::2], [*pieces[1::2], ""]) if (w := x.split())]
     words = list(chain.from_iterable(x for x, _ in segments))
     n = len(words)
