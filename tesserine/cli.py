@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from tesserine.config import load_config
+from tesserine.config import TABLE, load_config
 from tesserine.session import session
 
 
@@ -21,7 +21,7 @@ def _generate(a: argparse.Namespace) -> int:
     if a.watch and a.diff:
         print("--watch and --diff exclude each other", file=sys.stderr)
         return 1
-    config = load_config(a.root, emit_frontmatter=True if a.frontmatter else None, include_private=True if a.include_private else None, output_dir=a.output)
+    config = load_config(a.root, a.table, emit_frontmatter=True if a.frontmatter else None, include_private=True if a.include_private else None, output_dir=a.output)
     spark = session(master=a.master)
     began = time.time()
     try:
@@ -68,7 +68,7 @@ def _stats(a: argparse.Namespace) -> int:
     from tesserine.operators.views import stats
 
     spark = session(master=a.master)
-    modules, _ = pipeline.collect_modules(spark, load_config(a.root), a.incremental)
+    modules, _ = pipeline.collect_modules(spark, load_config(a.root, a.table), a.incremental)
     r = stats(modules).select(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("files", "functions", "classes", "methods", "tokens")], "languages").first()
     for label, value in (("Files", r.files), ("Functions", r.functions), ("Classes", r.classes), ("Methods", r.methods), ("Languages", r.languages), ("Estimated tokens", r.tokens)):
         print(f"{label}: {value}")
@@ -79,6 +79,7 @@ def main(argv: list[str] | None = None) -> int:
     """Run a command; returns the exit status."""
     p = argparse.ArgumentParser(prog="tesserine", description=__doc__)
     p.add_argument("--master", default="local[*]")
+    p.add_argument("--table", default=TABLE, help="table below [tool] in pyproject.toml")
     commands = p.add_subparsers(required=True)
     g = commands.add_parser("generate", help="write the documents of a source tree")
     g.add_argument("root", nargs="?", default=".")

@@ -6,8 +6,8 @@ import tomllib
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
-#: TOML table that holds the settings.
-TABLE = "llmstxt_gen"
+#: Table below [tool] that holds the settings; another tool's table of the same keys can be named instead.
+TABLE = "tesserine"
 
 # Default settings.
 DEFAULT_EXTENSIONS = (".py", ".js", ".jsx", ".ts", ".tsx", ".go", ".rs", ".rb", ".java", ".cs", ".c", ".h", ".cpp", ".hpp", ".cc")
@@ -57,7 +57,7 @@ def find_pyproject(start: str | Path) -> Path | None:
     return None
 
 
-def load_config(root: str | Path, **overrides) -> Config:
+def load_config(root: str | Path, table: str = TABLE, **overrides) -> Config:
     """Settings for a root. Values of a wrong type are ignored; list items become strings; lists replace the defaults."""
     root = Path(root)
     values: dict = {"root": str(root), "name": root.resolve().name}
@@ -69,7 +69,7 @@ def load_config(root: str | Path, **overrides) -> Config:
         values |= {k: project[k] for k in ("name", "description", "version") if isinstance(project.get(k), str)}
         defaults = Config()
         for f_ in fields(Config):
-            given = data.get("tool", {}).get(TABLE, {}).get(f_.name)
+            given = data.get("tool", {}).get(table, {}).get(f_.name)
             if given is None or f_.name == "root":
                 continue
             default = getattr(defaults, f_.name)

@@ -52,10 +52,10 @@ def test_scan(spark, tree):
 
 
 def test_config(tmp_path):
-    (tmp_path / "pyproject.toml").write_text('[project]\nname = "n"\nversion = 3\n[tool.llmstxt_gen]\nexclude = ["x", 1]\nmax_tokens_full = "no"\nemit_frontmatter = true\n')
+    (tmp_path / "pyproject.toml").write_text('[project]\nname = "n"\nversion = 3\n[tool.other]\nexclude = ["x", 1]\nmax_tokens_full = "no"\nemit_frontmatter = true\n')
     sub = tmp_path / "s"
     sub.mkdir()
-    c = load_config(sub, description="d")
+    c = load_config(sub, "other", description="d")
     assert (c.name, c.version, c.exclude, c.max_tokens_full, c.emit_frontmatter, c.description) == ("n", "", ("x", "1"), 32000, True, "d")
 
 
