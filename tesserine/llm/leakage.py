@@ -6,9 +6,11 @@ seeds it holds. For such a pair the longest non-overlapping matches are marked a
 three tokens; marked tiles near one another in both texts are chained, changed words inside a chain counting against it.
 
 A pair is reported when one chain spans ``SPAN`` words of the item (or nearly all of a shorter item), at least ``KEPT`` of
-the spanned words match and ``OWN`` of its distinctive seeds (two at least) are matched, or when the tiles together, in any order,
-cover ``COVERED`` of an item of twenty words or more under the same condition. Distinctive are seeds that at most
-``max(3, 2 %)`` of the items have: tasks that merely use the same phrases share hardly any. Shuffled words share none.
+the spanned words match and, beside two distinctive seeds, ``OWN`` of its distinctive seeds or ``KEPT`` of its distinctive
+words (three at least, aligned with the chain) are matched, or when the tiles together, in any order, cover ``COVERED`` of an
+item of twenty words or more under the same condition. Distinctive are seeds and words that at most ``max(3, 2 %)`` of the
+items have: tasks that merely use the same phrases share hardly any. Shuffled words share no seeds. A changed word breaks
+three seeds but one word only, so scattered changes cost a pair no more than the words they change.
 
 The items travel to the executors in blocks of at most ``BLOCK_WORDS`` words, one pass over the documents per block, so the
 size of what is broadcast is bounded whatever the number of items. No candidate is capped.
@@ -35,12 +37,16 @@ BLOCK_WORDS = 2_000_000
 _SEED = 3
 _WORD = re.compile(r"[^\W_]+")
 _ESCAPE = re.compile(r"\\(?:[nrt\"/]|u[0-9a-fA-F]{4})")
+#: Soft hyphens, zero-width characters and marks of direction, which stand inside words and are not seen.
+_UNSEEN = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff]")
+_INLINE = re.compile(r"</?(?:a|abbr|b|bdi|bdo|big|cite|code|del|dfn|em|font|i|ins|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|tt|u|var|wbr)(?:\s[^<>]*)?/?>", re.I)
+_LAYOUT = re.compile(r"</?(?:article|blockquote|br|center|dd|div|dl|dt|h[1-6]|hr|li|ol|p|pre|section|table|tbody|td|th|thead|tr|ul)(?:\s[^<>]*)?/?>", re.I)
 _SENTENCE_END = r"(?<=[.!?。！？])\s+"
 _BASE = 1_000_003
 
 
 def words(text: str | None) -> list[str]:
-    """Case-folded words, behind escapes, entities and typographic forms."""
+    """Case-folded words, behind escapes, entities, tags of layout and typographic forms."""
     import html
     import unicodedata
 
@@ -50,8 +56,10 @@ def words(text: str | None) -> list[str]:
         text = _ESCAPE.sub(lambda m: chr(int(m.group()[2:], 16)) if m.group()[1] == "u" else " ", text)
     if "&" in text:
         text = html.unescape(text)
+    if "<" in text:
+        text = _LAYOUT.sub(" ", _INLINE.sub("", text))
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
+        text = unicodedata.normalize("NFKC", _UNSEEN.sub("", text))
     return _WORD.findall(text.casefold())
 
 
@@ -66,15 +74,15 @@ def own_texts(items: DataFrame) -> DataFrame:
 
 
 def common_seeds(own: DataFrame, total: int) -> set[str]:
-    """Seeds that more than ``max(3, 2 %)`` of the items have.
+    """Seeds and single words that more than ``max(3, 2 %)`` of the items have.
 
-    Each stands in a fiftieth of the items, so there are at most fifty times as many as an item has words.
+    Each stands in a fiftieth of the items, so there are at most a hundred times as many as an item has words.
     """
 
     def run(rows):
         for r in rows:
             w = words(r["text"])
-            for seed in {" ".join(w[i : i + _SEED]) for i in range(len(w) - _SEED + 1)}:
+            for seed in {" ".join(w[i : i + _SEED]) for i in range(len(w) - _SEED + 1)} | set(w):
                 yield (seed,)
 
     counted = map_rows(own, run, "seed string", ["text"]).groupBy("seed").agg(F.count("*").alias("n"))
@@ -102,6 +110,7 @@ class Items:
         self.places = places
         self.hashes = np.array(sorted(places), dtype=np.uint64)
         self.distinctive = {h for h, p in places.items() if " ".join(self.words[p[0][0]][p[0][1] : p[0][1] + _SEED]) not in common}
+        self.rare = [[x not in common for x in w] for w in self.words]
         self.own = [[h in self.distinctive for h in self.rolling(t).tolist()] for t in self.tokens]
 
     @staticmethod
@@ -149,7 +158,7 @@ class Items:
         doc = t.tolist()
         for k, rare in special.items():
             if len(rare) >= 2 and len(by[k]) >= 3:
-                share, span, leaked = compare(doc, self.tokens[k].tolist(), by[k], self.own[k])
+                share, span, leaked = compare(doc, self.tokens[k].tolist(), by[k], self.own[k], self.rare[k])
                 if leaked:
                     found.append((self.ids[k], share, span))
         return found
@@ -194,14 +203,14 @@ def tiles(doc: list[int], item: list[int], seeds: list[tuple[int, int]]) -> list
     return out
 
 
-def compare(doc: list[int], item: list[int], seeds: list[tuple[int, int]], own: list[bool]) -> tuple[float, int, bool]:
+def compare(doc: list[int], item: list[int], seeds: list[tuple[int, int]], own: list[bool], rare: list[bool]) -> tuple[float, int, bool]:
     """Share of the item's words in tiles, the longest connected span, and whether that is a leak."""
     marked = sorted(tiles(doc, item, seeds), key=lambda x: (x[1], x[0]))
     n = len(item)
     covered = sum(x[2] for x in marked)
     best_span, leaked = 0, False
     need = min(SPAN, max(_SEED, int(0.8 * n)))
-    chains: list[list[int]] = []  # item begin, item end, document begin, document end, matched words, own seeds
+    chains: list[list] = []  # item begin, item end, document begin, document end, matched places of the item, own seeds
     for d, i, length in marked:
         joined = None
         for c in reversed(chains):
@@ -210,39 +219,53 @@ def compare(doc: list[int], item: list[int], seeds: list[tuple[int, int]], own:
                 joined = c
                 break
         if joined:
-            gap = item[joined[1] : i]
-            if gap:
-                window = doc[joined[3] : d]
-                joined[4] += _in_order(gap, window)
-            joined[1], joined[3], joined[4] = i + length, d + length, joined[4] + length
+            begun = joined[1]
+            joined[4] += [begun + k for k in _in_order(item[begun:i], doc[joined[3] : d])]
+            joined[4] += range(i, i + length)
+            joined[1], joined[3] = i + length, d + length
             joined[5] += sum(own[i : i + length - 2])
         else:
-            chains.append([i, i + length, d, d + length, length, sum(own[i : i + length - 2])])
+            chains.append([i, i + length, d, d + length, [*range(i, i + length)], sum(own[i : i + length - 2])])
+
+    def enough(seeds_found: int, found: list[int], begin: int, end: int) -> bool:
+        if seeds_found < 2:
+            return False
+        held = sum(rare[k] for k in set(found))
+        return seeds_found >= OWN * sum(own[begin : max(begin, end - 2)]) or held >= max(3, KEPT * sum(rare[begin:end]))
+
     for c in chains:
         _grow(c, doc, item)
         span = c[1] - c[0]
-        if c[4] >= KEPT * span and c[5] >= max(2, OWN * sum(own[c[0] : c[1] - 2])):
+        if len(c[4]) >= KEPT * span and enough(c[5], c[4], c[0], c[1]):
             best_span = max(best_span, span)
             leaked = leaked or span >= need
-    leaked = leaked or n >= 20 and covered >= COVERED * n and sum(c[5] for c in chains) >= max(2, OWN * sum(own))
+    leaked = leaked or n >= 20 and covered >= COVERED * n and enough(sum(c[5] for c in chains), [k for c in chains for k in c[4]], 0, n)
     return covered / max(1, n), best_span, leaked
 
 
-def _in_order(a: list[int], b: list[int]) -> int:
-    """Words of ``a`` that stand in ``b`` in the same order (both short)."""
+def _in_order(a: list[int], b: list[int]) -> list[int]:
+    """Places of the words of ``a`` that stand in ``b`` in the same order (both short)."""
     if not a or not b:
-        return 0
-    row = [0] * (len(b) + 1)
+        return []
+    rows = [[0] * (len(b) + 1)]
     for x in a:
-        last = 0
+        above, row = rows[-1], [0]
         for j, y in enumerate(b, 1):
-            kept = row[j]
-            row[j] = last + 1 if x == y and x else max(row[j], row[j - 1])
-            last = kept
-    return row[-1]
+            row.append(above[j - 1] + 1 if x == y and x else max(above[j], row[-1]))
+        rows.append(row)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        elif rows[i][j] == rows[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append(i)
+    return out[::-1]
 
 
-def _grow(c: list[int], doc: list[int], item: list[int]) -> None:
+def _grow(c: list, doc: list[int], item: list[int]) -> None:
     """Lengthen a chain at both ends over single changed words, while a word behind them matches in place."""
     for step in (-1, 1):
         while True:
@@ -250,7 +273,7 @@ def _grow(c: list[int], doc: list[int], item: list[int]) -> None:
             for k in (1, 2, 3):
                 a, b = i + step * k, d + step * k
                 if 0 <= a < len(item) and 0 <= b < len(doc) and item[a] == doc[b]:
-                    c[4] += 1
+                    c[4].append(a)
                     if step < 0:
                         c[0], c[2] = a, b
                     else:

@@ -378,6 +378,20 @@ def test_leaks(spark):
     assert leaks(d.limit(0), i).count() == 0 and leaks(d, i.limit(0)).count() == 0 and words("A&amp;B's") == ["a", "b", "s"] and text
 
 
+def test_leaks_behind_layout_and_scattered_changes():
+    from tesserine.llm.leakage import Items, words
+
+    assert words("la\u00adter we\u200bighs <b>a</b>b<br/>c a < b") == ["later", "weighs", "ab", "c", "a", "b"]
+    r = random.Random(3)
+    text = " ".join(f"the {r.choice('red blue odd'.split())} {''.join(r.choices('bdfgklmnprst', k=5))} keeps {r.randint(100, 999)} lamps" for _ in range(10))
+    other = " ".join(f"the {r.choice('red blue odd'.split())} {''.join(r.choices('bdfgklmnprst', k=5))} keeps {r.randint(100, 999)} lamps" for _ in range(10))
+    index = Items([(1, text)], {"the", "red", "blue", "odd", "keeps", "lamps"})
+    tagged = " ".join(x[:2] + "\u00ad" + x[2:] if i % 3 else f"<em>{x}</em>" for i, x in enumerate(text.split()))
+    changed = " ".join("thing" if i % 4 == 1 else x for i, x in enumerate(text.split()))
+    found = [[k for k, _, _ in index.matches(t)] for t in (tagged, changed, other)]
+    assert found == [[1], [1], []]
+
+
 # Problem 10
 
 
