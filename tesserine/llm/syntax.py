@@ -5,8 +5,10 @@ climbing) with panic-mode recovery, so that all errors are stored, not only the
 extension; where the extension is unknown, the ``language`` column's. Files in other languages are left undecided
 (``valid`` is null).
 
-Cases: null content or path counts as empty; empty files are valid; a file nested deeper than the checker's limit is left
-undecided (``valid`` null, cause "too deep"); repeated versions give one row; extra columns are ignored. An empty table
+Deeply nested files are read with a longer stack. Where that ends too (in Python beyond the nesting the interpreter takes),
+the errors found before count, and a file without any is left undecided (``valid`` null, cause "too deep").
+
+Cases: null content or path counts as empty; empty files are valid; repeated versions give one row; extra columns are ignored. An empty table
 gives an empty result.
 """
 
@@ -19,6 +21,8 @@ from tesserine.session import map_rows
 
 # Languages by file extension.
 LANGUAGE_OF = {".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript", ".go": "go", ".java": "java", ".rb": "ruby", ".rs": "rust"}
+#: Frames of Python's stack for a deeply nested file; they lie on the heap, some 100 bytes each.
+FRAMES = 500_000
 _KNOWN = frozenset(LANGUAGE_OF.values())
 
 
@@ -34,7 +38,9 @@ def language_of(path: str | None, language: str | None) -> str | None:
 
 
 def check(content: str | None, language: str, path: str = "") -> list[tuple[int, str]] | None:
-    """All syntax errors as (offset, message); None where nesting is too deep to decide."""
+    """All syntax errors as (offset, message); None where nesting is too deep to decide and no error stands before it."""
+    import sys
+
     from tesserine.functions.lex import tokenize
     from tesserine.llm.syntax_base import TooDeep
     from tesserine.llm.syntax_go import GoChecker
@@ -47,14 +53,28 @@ def check(content: str | None, language: str, path: str = "") -> list[tuple[int,
     text = content or ""
     if not text.strip():
         return []
-    try:
-        if language in ("javascript", "typescript"):
+
+    kind = {"python": PythonChecker, "go": GoChecker, "java": JavaChecker, "ruby": RubyChecker, "rust": RustChecker}.get(language, ScriptChecker)
+
+    def made(kind):
+        if kind.__name__ == "ScriptChecker":
             jsx = language == "javascript" or (path or "").lower().endswith(".tsx")
-            return ScriptChecker(tokenize(text, language, jsx=jsx), language == "typescript").program()
-        checker = {"python": PythonChecker, "go": GoChecker, "java": JavaChecker, "ruby": RubyChecker, "rust": RustChecker}[language]
-        return checker(tokenize(text, language)).program()
+            return kind(tokenize(text, language, jsx=jsx), language == "typescript")
+        return kind(tokenize(text, language))
+
+    try:
+        return made(kind).program()
     except (TooDeep, RecursionError):
-        return None
+        pass
+    checker, frames = None, sys.getrecursionlimit()
+    sys.setrecursionlimit(max(frames, FRAMES))
+    try:
+        checker = made(type(kind.__name__, (kind,), {"DEEP": kind.DEEPEST}))
+        return checker.program()
+    except (TooDeep, RecursionError):
+        return (sorted(set(checker.errors)) or None) if checker else None
+    finally:
+        sys.setrecursionlimit(frames)
 
 
 def confirmed_python(content: str) -> bool:
@@ -69,8 +89,10 @@ def confirmed_python(content: str) -> bool:
         return False
     except (SyntaxError, ValueError):
         return True
-    except (RecursionError, MemoryError):
+    except RecursionError:
         return False
+    except MemoryError:  # the interpreter's parser gave up: nothing clears the file
+        return True
 
 
 def _check_rows(rows):

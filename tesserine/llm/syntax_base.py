@@ -21,8 +21,9 @@ class Checker:
     """State and helpers shared by all languages."""
 
     SYNC: frozenset = frozenset()
-    #: Files nest less than this; beyond it Python's own stack would end first.
+    #: Nearly all files nest less than this. Deeper ones are read again with ``DEEPEST`` and a longer stack.
     DEEP = 150
+    DEEPEST = 1 << 30
 
     def __init__(self, tokens: Tokens) -> None:
         self.k, self.t, self.nl, self.i = tokens, tokens.types, tokens.nl, 0
@@ -121,4 +122,4 @@ class Checker:
 
 
 class TooDeep(Exception):
-    """Nesting beyond the limit: the file is left undecided, which counts as valid."""
+    """Nesting beyond the limit."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserine.llm.syntax_base import Checker
+from tesserine.llm.syntax_base import Checker, TooDeep
 
 # Binding strength of the binary operators, and the tokens after which a line end is a semicolon.
 _BINARY = {"||": 1, "&&": 2, "==": 3, "!=": 3, "<": 3, "<=": 3, ">": 3, ">=": 3, "+": 4, "-": 4, "|": 4, "^": 4, "*": 5, "/": 5, "%": 5, "<<": 5, ">>": 5, "&": 5, "&^": 5}
@@ -238,7 +238,7 @@ class GoChecker(Checker):
         self.need("{")
         self.deep += 1
         if self.deep > self.DEEP:
-            self.fail()
+            raise TooDeep
         control, self.control = self.control, False
         self.statements()
         self.control = control
@@ -359,11 +359,15 @@ class GoChecker(Checker):
             self.fail("expected a condition")
         self.header()
         self.block()
-        if self.opt("else"):
-            if self.t[self.i] == "if":
-                self.nested(self.if_)
-            else:
+        while self.opt("else"):
+            if self.t[self.i] != "if":
                 self.block()
+                break
+            self.i += 1
+            if self.t[self.i] == "{":
+                self.fail("expected a condition")
+            self.header()
+            self.block()
 
     def for_(self) -> None:
         self.i += 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserine.llm.syntax_base import Checker
+from tesserine.llm.syntax_base import Checker, TooDeep
 
 # Binding strength of the binary operators, primitive types and modifiers.
 _BINARY = {"||": 1, "&&": 2, "|": 3, "^": 4, "&": 5, "==": 6, "!=": 6, "<": 7, ">": 7, "<=": 7, ">=": 7, "instanceof": 7, "<<": 8, "+": 9, "-": 9, "*": 10, "/": 10, "%": 10}
@@ -298,7 +298,7 @@ class JavaChecker(Checker):
         self.need("{")
         self.deep += 1
         if self.deep > self.DEEP:
-            self.fail()
+            raise TooDeep
         t = self.t
         while t[self.i] != "}":
             if t[self.i] == "EOF":
@@ -368,7 +368,12 @@ class JavaChecker(Checker):
         self.i += 1
         self.condition()
         self.nested(self.inner)
-        if self.opt("else"):
+        while self.opt("else"):
+            if self.t[self.i] != "if":
+                self.nested(self.inner)
+                break
+            self.i += 1
+            self.condition()
             self.nested(self.inner)
 
     def while_(self) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserine.llm.syntax_base import Checker, Unexpected
+from tesserine.llm.syntax_base import Checker, TooDeep, Unexpected
 
 # Binding strength of the binary operators.
 _BINARY = {"or": 1, "and": 2, "in": 4, "is": 4, "<": 4, ">": 4, "<=": 4, ">=": 4, "==": 4, "!=": 4, "|": 5, "^": 6, "&": 7, "<<": 8, ">>": 8, "+": 9, "-": 9, "*": 10, "/": 10, "//": 10, "%": 10, "@": 10, "**": 12}
@@ -15,6 +15,9 @@ NAME, ITEM, GROUP, OTHER = 0, 1, 2, 3
 class PythonChecker(Checker):
     """Statements until EOF, with NL, INDENT and DEDENT tokens."""
 
+    #: The interpreter takes 200 open brackets and 100 indents at most.
+    DEEPEST = 300
+
     def recover(self, begun: int) -> None:
         t, i = self.t, max(self.i, begun)
         while t[i] not in ("NL", "EOF"):
@@ -531,18 +534,20 @@ class PythonChecker(Checker):
             self.fail("expected an indented block")
         self.i += 1
         self.deep += 1
+        if self.deep > self.DEEP:
+            raise TooDeep
+        deep = self.deep
         while t[self.i] not in ("DEDENT", "EOF"):
             begun = self.i
             try:
                 self.statement()
             except Unexpected as e:
+                self.deep = deep
                 self.errors.append((self.k.start[e.at], e.message))
                 self.recover(begun)
         self.deep -= 1
         if t[self.i] == "DEDENT":
             self.i += 1
-        if self.deep > self.DEEP:
-            self.fail()
 
     def if_(self) -> None:
         self.i += 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserine.llm.syntax_base import Checker
+from tesserine.llm.syntax_base import Checker, TooDeep
 
 # Binding strength of the binary operators.
 _BINARY = {"..": 2, "...": 2, "||": 3, "&&": 4, "<=>": 6, "==": 6, "===": 6, "!=": 6, "=~": 6, "!~": 6, "<": 7, "<=": 7, ">": 7, ">=": 7, "|": 8, "^": 8, "&": 9, "<<": 10, ">>": 10, "+": 11, "-": 11, "*": 12, "/": 12, "%": 12, "**": 14}
@@ -40,7 +40,7 @@ class RubyChecker(Checker):
         t = self.t
         self.deep += 1
         if self.deep > self.DEEP:
-            self.fail()
+            raise TooDeep
         no_do, self.no_do = self.no_do, False
         while t[self.i] not in ends:
             if t[self.i] == "EOF":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserine.llm.syntax_base import Checker
+from tesserine.llm.syntax_base import Checker, TooDeep
 
 # Binding strength of the binary operators.
 _BINARY = {"||": 2, "&&": 3, "==": 4, "!=": 4, "<": 4, ">": 4, "<=": 4, ">=": 4, "|": 5, "^": 6, "&": 7, "<<": 8, ">>": 8, "+": 9, "-": 9, "*": 10, "/": 10, "%": 10}
@@ -502,7 +502,7 @@ class RustChecker(Checker):
         self.need("{")
         self.deep += 1
         if self.deep > self.DEEP:
-            self.fail()
+            raise TooDeep
         t = self.t
         no_struct, self.no_struct = self.no_struct, False
         in_body, self.in_body = self.in_body, 1
@@ -580,11 +580,13 @@ class RustChecker(Checker):
             self.i += 1
             self.condition()
             self.block()
-            if self.opt("else"):
-                if t[self.i] == "if":
-                    self.nested(self.block_expression)
-                else:
+            while self.opt("else"):
+                if t[self.i] != "if":
                     self.block()
+                    break
+                self.i += 1
+                self.condition()
+                self.block()
         elif x == "match":
             self.i += 1
             self.condition()

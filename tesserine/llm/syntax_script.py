@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserine.llm.syntax_base import Checker
+from tesserine.llm.syntax_base import Checker, TooDeep
 
 # Binding strength of the binary operators.
 _BINARY = {"??": 1, "||": 1, "&&": 2, "|": 3, "^": 4, "&": 5, "==": 6, "!=": 6, "===": 6, "!==": 6, "<": 7, ">": 7, "<=": 7, ">=": 7, "instanceof": 7, "in": 7, "<<": 8, ">>": 8, ">>>": 8, "+": 9, "-": 9, "*": 10, "/": 10, "%": 10, "**": 11}
@@ -23,7 +23,7 @@ class ScriptChecker(Checker):
         self.typed = typed
         self.no_in = False
         for sub in tokens.subs:
-            inner = ScriptChecker(sub, typed)
+            inner = type(self)(sub, typed)
             inner.t = [*sub.types, "EOF"]
             inner.nl = [*sub.nl, True]
             sub.start.append(sub.end[-1])
@@ -87,7 +87,7 @@ class ScriptChecker(Checker):
         self.need("{")
         self.deep += 1
         if self.deep > self.DEEP:
-            self.fail()
+            raise TooDeep
         t = self.t
         while t[self.i] != "}":
             if t[self.i] == "EOF":
@@ -360,7 +360,12 @@ class ScriptChecker(Checker):
         self.i += 1
         self.condition()
         self.nested(self.statement)
-        if self.opt("else"):
+        while self.opt("else"):
+            if self.t[self.i] != "if":
+                self.nested(self.statement)
+                break
+            self.i += 1
+            self.condition()
             self.nested(self.statement)
 
     def condition(self) -> None:

@@ -59,6 +59,44 @@ def test_deep_nesting_is_undecided():
     assert check("x = " + "(" * 4000 + ")" * 4000, "python") is None
 
 
+ELSE_IF = {
+    "go": ("package a\nfunc f() { if a { b() }", " else if a { b() }", " }\n"),
+    "java": ("class A { void m() { if (a) { b(); }", " else if (a) { b(); }", " } }"),
+    "javascript": ("if (a) { b() }", " else if (a) { b() }", "\n"),
+    "rust": ("fn f() { if a { b() }", " else if a { b() }", " }\n"),
+}
+
+
+@pytest.mark.parametrize("language", ELSE_IF)
+def test_long_chains_are_decided(language):
+    begin, branch, end = ELSE_IF[language]
+    assert check(begin + branch * 3000 + end, language) == []
+    assert check(begin + branch * 3000 + " else else" + end, language)
+
+
+DEEP = {
+    "go": ("package a\nvar x = ", "(", "1", ")", "\n"), "java": ("class A { int x = ", "(", "1", ")", "; }"), "javascript": ("x = ", "[", "1", "]", ";\n"), "typescript": ("", "{", "a", "}", ""),
+    "rust": ("fn f() ", "{", "1", "}", "\n"), "ruby": ("x = ", "[", "1", "]", "\n"), "python": ("x = ", "(", "1", ")", "\n"),
+}
+
+
+@pytest.mark.parametrize("language", DEEP)
+def test_deep_files_are_decided(language):
+    begin, left, inner, right, end = DEEP[language]
+    n = 190 if language == "python" else 600
+    assert check(begin + left * n + inner + right * n + end, language) == []
+    assert check(begin + left * n + inner + right * (n - 1) + end, language)
+
+
+def test_errors_before_the_limit_count():
+    assert check("<<<<<<< HEAD\nx = " + "(" * 4000 + ")" * 4000, "python")
+
+
+def test_errors_in_indented_brackets_do_not_add_depth():
+    text = "def f():\n" + "    x = (1 {{ 2 }})\n" * 400
+    assert len(check(text, "python")) >= 400
+
+
 def test_operator(spark):
     rows = [(1, "r", "a.py", "python", "x = ("), (1, "r", "a.py", "python", "x = ("), (2, "r", "b.py", None, None), (3, None, "c.zig", None, "("), (4, "r", "d", "go", "package a"), (5, "q", None, "ruby", "end"), (6, "r", "e.py", None, "x = 1\r\ny = 2\r\n" * 20000)]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "file_id bigint, repo string, path string, language string, content string, valid string")
