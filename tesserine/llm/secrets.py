@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 
 from pyspark.sql import DataFrame
@@ -29,6 +30,8 @@ OWNERS = 3
 BLOCK = 50_000
 
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:\\n|\\r|[\s\"'+*#/,]|Proc-Type[^\n]*|DEK-Info[^\n]*|Version[^\n]*)*([A-Za-z0-9+/=]{24,})")
+_PEM_BODY = re.compile(r"(?:\\[nrt]|[A-Za-z0-9+/=]|[\s\"'`\\*#,.]+(?=[A-Za-z0-9+/=]{24}))*+")
+_PEM_LAYOUT = re.compile(r"[\"'`]\s*(?:\+|\.|<<|,)?\s*\\?\s*[\"'`]|\\[nrt]|\n[ \t]*(?://+[ \t]|[#*]+)?")
 _JWT = re.compile(r"eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{10,}")
 _URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]*://([^\s:/@\"'`<>]*):([^\s@/\"'`]{3,})@[\w.\[-]")
 _BASIC = re.compile(r"\bBasic ([A-Za-z0-9+/]{8,}={0,2})")
@@ -107,12 +110,24 @@ def _named(words: list[str], value: str) -> bool:
     return looks_random(value)
 
 
+def key_value(text: str, begin: int) -> str:
+    """What a private key counts as: the hash of its body from ``begin`` up to the END line, without layout.
+
+    The first characters alone do not tell keys apart; some formats begin with the same header.
+    """
+    end = text.find("-----", begin)
+    if end < 0:  # no END line: as far as the letters of a body go
+        end = _PEM_BODY.match(text, begin).end()
+    body = "".join(c for c in _PEM_LAYOUT.sub("", text[begin:end]) if c.isalnum() or c in "+/=")
+    return hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def candidates(text: str) -> list[tuple[int, str, str, str]]:
     """(offset, needle, value, kind) of all candidates in a text; the needle is the text as it stands there."""
     out = []
     if "PRIVATE KEY" in text:
         for m in _PEM.finditer(text):
-            out.append((m.start(), m.group(1)[:64], m.group(1)[:64], "private key"))
+            out.append((m.start(), m.group(1)[:64], key_value(text, m.start(1)), "private key"))
     if "eyJ" in text:
         for m in _JWT.finditer(text):
             if not _PLACEHOLDER.search(m.group()):
@@ -210,7 +225,9 @@ def confirmed(source_files: DataFrame, modules: DataFrame) -> DataFrame:
     found = found.unionByName(map_rows(constants, _constant_rows, schema))
     index = found.groupBy("value", "needle", "kind", F.coalesce("repo", F.lit("")).alias("repo")).agg(F.count("*").alias("uses"))
     owners = index.groupBy("value").agg(F.countDistinct("repo").alias("owners")).where(F.col("owners") <= OWNERS)
-    return index.select("value", "needle", "kind").distinct().join(owners, "value").groupBy("needle").agg(F.min("kind").alias("kind"), F.min("value").alias("value"), F.max("owners").alias("owners"))
+    known = index.select("value", "needle", "kind").distinct().join(owners, "value")
+    # Keys of one format may share a needle, other secrets do not.
+    return known.withColumn("key", F.when(F.col("kind") == "private key", F.col("value"))).groupBy("needle", "key").agg(F.min("kind").alias("kind"), F.min("value").alias("value"), F.max("owners").alias("owners")).drop("key")
 
 
 class Finder:
@@ -227,8 +244,12 @@ class Finder:
             import ahocorasick
 
             made = ahocorasick.Automaton()
+            at: dict[str, tuple[list, set]] = {}
             for needle, kind, value in self.needles.value:
-                made.add_word(needle, (len(needle), kind, value))
+                other, keys = at.setdefault(needle, ([], set()))
+                keys.add(value) if kind == "private key" else other.append((kind, value))
+            for needle, (other, keys) in at.items():
+                made.add_word(needle, (len(needle), other, keys))
             made.make_automaton()
             Finder.built.clear()
             Finder.built[self.name] = made
@@ -239,18 +260,18 @@ class Finder:
         out = []
         if not len(self.automaton()):
             return out
-        for last, (n, kind, value) in self.automaton().iter(text):
+        for last, (n, other, keys) in self.automaton().iter(text):
             begin, end = last - n + 1, last + 1
-            if kind != "private key":
-                if (text[begin].isalnum() and begin and (text[begin - 1].isalnum())) or (end < len(text) and text[end - 1].isalnum() and text[end].isalnum()):
-                    continue
-            else:
+            if other and not ((text[begin].isalnum() and begin and (text[begin - 1].isalnum())) or (end < len(text) and text[end - 1].isalnum() and text[end].isalnum())):
+                out += [(begin, end, kind, value) for kind, value in other]
+            if keys:
                 head = text.rfind("-----BEGIN", 0, begin)
                 if head < 0 or "PRIVATE KEY" not in text[head:begin] or "-----END" in text[head:begin]:
                     continue
-                tail = text.find("-----END", end)
-                begin, end = head, tail if tail > 0 else end
-            out.append((begin, end, kind, value))
+                value = key_value(text, begin)
+                if value in keys:
+                    tail = text.find("-----END", end)
+                    out.append((head, tail if tail > 0 else end, "private key", value))
         return out
 
 
