@@ -1,9 +1,10 @@
 """Problem 2: natural language inside code.
 
-Comments and strings are found by a lexer whose effect on a piece of text is a function from the state before to the state
-after (code, or inside some comment or string). Long files are cut into chunks at places where no token can be cut; the
-functions of the chunks are composed by a parallel prefix, which gives every chunk its first state, so that all chunks of
-a file can be read at once, on different executors. A file that fits one chunk begins in the state "code".
+Comments and strings are found by a lexer, which reads every file from its begin to its end: where a raw string, heredoc
+or nested comment ends depends on how it began. The passages of a long file then travel in parts of about ``CHUNK``
+characters, none of them cut, and are labelled on different executors. (``transition`` gives the lexer's effect on a piece
+of text as a function, ``prefix_states`` composes such functions; states with a free parameter are not among them, so
+the operator does not use them.)
 
 Neighbouring comment lines and concatenated strings are joined, comment marks and escapes removed, and the text is cut
 into sentences. A multinomial logistic regression on hashed byte n-grams labels each; it is fitted to a bounded sample of
@@ -26,7 +27,7 @@ from tesserine.session import map_rows
 
 LANGUAGES = ["en", "de", "es", "fr", "it", "pl", "pt", "ru", "zh"]
 SAMPLE = 300
-#: Characters beyond which a file is cut into chunks.
+#: Characters beyond which a file's passages travel in parts.
 CHUNK = 1 << 20
 #: Sentences are labelled in batches of so many files.
 BATCH = 256
@@ -144,7 +145,7 @@ def compose(f: dict, g: dict) -> dict:
 
 
 def prefix_states(functions: list[dict]) -> list[tuple[str, str]]:
-    """First state of every chunk, by a parallel prefix over the chunks' functions in log2(n) rounds."""
+    """First state of every chunk, by a parallel prefix over the chunks' functions in log2(n) rounds; for texts without parametric states."""
     running, step = list(functions), 1
     while step < len(running):
         running = [compose(running[i - step], running[i]) if i >= step else running[i] for i in range(len(running))]
@@ -153,7 +154,7 @@ def prefix_states(functions: list[dict]) -> list[tuple[str, str]]:
 
 
 def cut(text: str, size: int) -> list[str]:
-    """Pieces of about ``size`` characters, cut behind line breaks, semicolons or commas, where no token is cut."""
+    """Pieces of about ``size`` characters, cut behind line breaks, semicolons or commas; a token that holds one may be cut."""
     pieces, at = [], 0
     while len(text) - at > size:
         m = re.compile(r"\n|[;,](?=[\w\s])").search(text, at + size)
@@ -380,31 +381,27 @@ def language_shares(source_files: DataFrame, documents: DataFrame, chunk: int =
                 held = []
         yield from flush(held)
 
-    def pieces(rows):
+    def parts(rows):
         for r in rows:
             text = r["content"]
-            if text and len(text) > chunk:
-                language = language_of(r["path"], r["language"]) or "c"
-                for k, piece in enumerate(cut(text, chunk)):
-                    yield r["file_id"], len(text), language, k, piece
-
-    def functions(rows):
-        for r in rows:
-            f = transition(r["piece"], r["language"])
-            yield r["file_id"], r["k"], [{"a": a[0], "b": b[0], "c": b[1]} for a, b in f.items()]
-
-    def starts(rows):
-        for r in rows:
-            table = [{(x["a"], "1" if x["a"] == "nest" else ""): (x["b"], x["c"]) for x in f["f"]} for f in sorted(r["fs"], key=lambda f: f["k"])]
-            for k, state in enumerate(prefix_states(table)):
-                yield r["file_id"], k, state[0], state[1]
+            if not text or len(text) <= chunk:
+                continue
+            spans: list = []
+            scan(text, language_of(r["path"], r["language"]) or "c", CODE, spans)
+            part, size, k = [], 0, 0
+            for _, p in passages(text, spans):
+                part.append(p)
+                size += len(p)
+                if size >= chunk:
+                    yield r["file_id"], len(text), k, part
+                    part, size, k = [], 0, k + 1
+            if part:
+                yield r["file_id"], len(text), k, part
 
     def large(rows):
         held = []
         for r in rows:
-            spans: list = []
-            scan(r["piece"], r["language"], (r["kind"], r["arg"]), spans)
-            held.append((r["file_id"], r["n_chars"], [s for _, p in passages(r["piece"], spans) for s in sentences(p)]))
+            held.append((r["file_id"], r["n_chars"], [s for p in r["passages"] for s in sentences(p)]))
             if len(held) >= 8:
                 yield from flush(held)
                 held = []
@@ -412,11 +409,8 @@ def language_shares(source_files: DataFrame, documents: DataFrame, chunk: int =
 
     direct = map_rows(source_files.where(F.length("content") <= chunk), small, schema, columns)
     long = source_files.where(F.length("content") > chunk).dropDuplicates(["file_id"])
-    parts = map_rows(long, pieces, "file_id bigint, n_chars bigint, language string, k int, piece string", columns).repartition("file_id", "k")
-    effect = map_rows(parts, functions, "file_id bigint, k int, f array<struct<a:string,b:string,c:string>>")
-    gathered = effect.groupBy("file_id").agg(F.collect_list(F.struct("k", "f")).alias("fs"))
-    first = map_rows(gathered, starts, "file_id bigint, k int, kind string, arg string")
-    chunked = map_rows(parts.join(first, ["file_id", "k"]), large, schema)
+    taken = map_rows(long, parts, "file_id bigint, n_chars bigint, k int, passages array<string>", columns).repartition("file_id", "k")
+    chunked = map_rows(taken, large, schema)
     total = direct.dropDuplicates(["file_id", "lang"]).unionByName(chunked)
     return total.groupBy("file_id", "lang").agg(F.max("n_chars").alias("n_chars"), F.sum("chars").alias("chars")).select("file_id", "lang", "chars", (F.col("chars") / F.col("n_chars")).alias("share"))
 

@@ -149,6 +149,23 @@ def test_spoken_languages(spark):
     assert foreign_languages(df.limit(0), docs).count() == 0 and foreign_languages(df, docs.limit(0)).count() == 0
 
 
+def test_long_files_read_like_short_ones(spark):
+    from tesserine.llm.spoken import language_shares
+
+    code = "let x = f(1, 2);\n" * 12
+    rows = [
+        (1, "r", "a.rs", None, code + 'let s = r#"' + (TEXT["de"] + "\n") * 8 + '"#;\n' + code + f'let t = "{TEXT["fr"]}";\n' + code),
+        (2, "r", "b.rb", None, "x = 1\n" * 30 + "s = <<~EOS\n" + (TEXT["fr"] + "\n") * 8 + "EOS\n" + "x = 1\n" * 40 + f"# {TEXT['de']}\n" + "x = 1\n" * 40),
+        (3, "r", "c.rs", None, code + "/* a /* b /* " + (TEXT["de"] + "\n") * 8 + " */ */ */\n" + code + f"// {TEXT['fr']}\n" + code),
+        (4, "r", "d.js", None, "".join(f"f({i}, 'a, b');" for i in range(30)) + f'g("{TEXT["de"]} {TEXT["de"]} {TEXT["de"]}");' + f"h('{TEXT['fr']}');" * 3),
+    ]
+    df, docs = files(spark, rows), pages(spark)
+    whole = {(r.file_id, r.lang, r.chars) for r in language_shares(df, docs).collect()}
+    assert {x[:2] for x in whole} >= {(i, g) for i in (1, 2, 3, 4) for g in ("de", "fr")}
+    for chunk in (100, 333):
+        assert {(r.file_id, r.lang, r.chars) for r in language_shares(df, docs, chunk=chunk).collect()} == whole
+
+
 # Problem 3
 
 
