@@ -39,7 +39,8 @@ _SETTING = re.compile(r"(?i)\b((?:[a-z0-9_]*_)?(?:password|passwd|passphrase|pwd
 _LONG = re.compile(r"(?<=[-_:.])[A-Za-z0-9]{16,}(?![\w/+=-])(?!\.\w)")
 _ISSUER = re.compile(r"(?:^|[^\w/+.-])([A-Za-z]{2,6}\d{0,2}(?:[-_](?:live|test|prod|pat|key))?[-_:.])$")
 _PIECES = re.compile(r"(?<![\w/+.-])([A-Za-z]{2,6}\d{0,2}(?:[-_](?:live|test|prod|pat|key))?[-_:.][A-Za-z0-9]{4,})([\"'`])\s*(?:\+|\.|<<|\\\r?\n)?\s*\2([A-Za-z0-9]{6,})\2")
-_LITERAL = re.compile(r"\"([^\"\\\n]{5,200})\"|'([^'\\\n]{5,200})'|`([^`\\\n]{5,200})`")
+_LITERAL = re.compile(r"\"((?:[^\"\\\n]++|\\.)*+)\"|'((?:[^'\\\n]++|\\.)*+)'|`((?:[^`\\\n]++|\\.)*+)`")
+_ESCAPED = re.compile(r"\\([\"'`\\/$])")
 _MENTION = re.compile(r"\b(?:p(?:w|ass(?:wd|word|phrase)?)|logins?|secret|token|(?:api[ _-]?)?key|credentials?)\b([^\n]*)")
 _IN_COMMENT = re.compile(r"(?:^|\s)(?:#|//|--|\*|/\*)")
 _LEADS = re.compile(r"[:=/]|\b(?:is|was|are)\b")
@@ -150,12 +151,14 @@ def candidates(text: str) -> list[tuple[int, str, str, str]]:
         if p and _issued(p.group(1), m.group()):
             out.append((p.start(1), p.group(1) + m.group(), p.group(1) + m.group(), "issued token"))
     lower = text.lower()
-    for m in _PIECES.finditer(text) if '" + "' in text or "' + '" in text or '" "' in text or "\\\n" in text or '" .' in text or '"\n' in text and " +\n" in text else ():
+    if len(lower) != len(text):  # some letters grow; places must stay
+        lower = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+    for m in _PIECES.finditer(text):
         head = m.group(1)
         cut = max(head.rfind(c) for c in "-_:.") + 1
         if _issued(head[:cut], head[cut:] + m.group(3)):
             out.append((m.start(), m.group(), head + m.group(3), "issued token"))
-    if len(lower) == len(text) and any(k in lower for k in ("password=", "passwd=", "pwd=", "secret=", "token=", "key=", "passphrase=", "password =", "secret =", "token =", "key =")):
+    if "=" in text and any(k in lower for k in ("password", "passwd", "pwd", "secret", "token", "key", "passphrase")):
         for m in _SETTING.finditer(text):
             value = m.group(2)
             if value[-1] not in "()" and _password(value) and not (value.isalpha() and (value.islower() or value.istitle())) and not re.search(r"[()\[\]]|\w\.\w+\(", value):
@@ -164,7 +167,10 @@ def candidates(text: str) -> list[tuple[int, str, str, str]]:
                 if before.count('"') % 2 or before.count("'") % 2 or before.count("`") % 2 or re.match(r"\s*(?:#|//|\*|/\*|--)", before):
                     out.append((m.start(), m.group(), value, "setting"))
     for m in _LITERAL.finditer(text):
-        value = m.group(m.lastindex)
+        needle = m.group(m.lastindex)
+        if len(needle) < 5:
+            continue
+        value = _ESCAPED.sub(r"\1", needle) if "\\" in needle else needle
         if " " in value:
             if not (value.islower() and 3 <= value.count(" ") + 1 <= 12 and value.replace(" ", "").isalpha()):
                 continue
@@ -182,8 +188,8 @@ def candidates(text: str) -> list[tuple[int, str, str, str]]:
             continue
         words = own if any(w in _SECRET_WORDS for w in own) else [w for n in names[-2:] for w in name_words(n)]
         if _named([w for w in words if w not in _HARMLESS_WORDS], value):
-            out.append((m.start() + 1, value, value, "named value"))
-    for m in _MENTION.finditer(lower) if len(lower) == len(text) else ():
+            out.append((m.start() + 1, needle, value, "named value"))
+    for m in _MENTION.finditer(lower):
         begin, end = m.span(1)
         c = _LEADS.search(lower, begin, end)
         if not c or not _IN_COMMENT.search(text, max(0, text.rfind("\n", 0, begin)), begin):

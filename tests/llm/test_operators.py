@@ -294,6 +294,18 @@ def test_secrets_operator(spark):
     assert find_secrets(src.limit(0), m.limit(0)).count() == 0
 
 
+def test_candidates_behind_no_narrow_guard():
+    from tesserine.llm.secrets import candidates
+
+    head, tail = "ghp_a8Kx92", "LmQ4zT7vWc1Rb5Yn"
+    for text in (f'x = ("{head}"\n     "{tail}")', f"x = '{head}' +\n  '{tail}'", f'x = "{head}"+"{tail}"', f'x = "{head}" << "{tail}"'):
+        assert [v for _, _, v, _ in candidates(text) if v == head + tail], text
+    assert candidates('// İ\nurl = "host=db;password=Zk4!vbQ9x"\n') and candidates("# İ password is Zk4!vbQ9x7\n")
+    assert [(n, v) for _, n, v, _ in candidates('password = "Zk4!\\"vb\\\\Q9x"\n')] == [('Zk4!\\"vb\\\\Q9x', 'Zk4!"vb\\Q9x')]
+    long = "Zk4vbQ9xT7" * 25
+    assert candidates(f'secret = "{long}"\n')
+
+
 def test_keys_of_one_format_are_told_apart(spark):
     from tesserine.llm.secrets import find_secrets
 
