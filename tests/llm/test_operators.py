@@ -183,16 +183,66 @@ def test_markup_absent(text):
     assert not any(markup_of([text])[0][1])
 
 
-def test_clean_text():
+def cleaned(t):
     from tesserine.llm.markup import clean, markup_of
 
-    def cleaned(t):
-        n, c = markup_of([t])[0]
-        return clean(t, n, c)
+    n, c = markup_of([t])[0]
+    return clean(t, n, c)
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("# Title here\n\nSome `code` and **bold** words.", "# Title here\n\nSome `code` and bold words."),
+        ("<p>One thing here.</p>\n<ul>\n<li>First thing here.</li>\n<li>The <b>second</b> thing.</li>\n</ul>", "One thing here.\n\n- First thing here.\n- The second thing."),
+        ("<ol><li>a thing</li><li>two things</li></ol>", "1. a thing\n2. two things"),
+        ("The cost is $n^2$ or \\(\\frac{1}{2}\\) for all.", "The cost is $n^2$ or \\(\\frac{1}{2}\\) for all."),
+        ("$$\nx^2\n$$", "$$\nx^2\n$$"),
+        ("```py\nx  = 1\n\n\n\ny = 2\n```", "```py\nx  = 1\n\n\n\ny = 2\n```"),
+        ("<pre>a  b</pre> and <code>x</code> H<sub>2</sub>O", "```\na  b\n```\n and `x` H_2O"),
+        ("### Third\n\n7. seven things here\n8. eight things here", "### Third\n\n7. seven things here\n8. eight things here"),
+        ("Title\n=====\n\nwords here", "# Title\n\nwords here"),
+        ("=== Deep ===\n''it'' is in [[A|b]]", "=== Deep ===\n''it'' is in [[A|b]]".replace("=== Deep ===", "### Deep").replace("''it''", "it").replace("[[A|b]]", "b")),
+        ("\\section{Intro}\nText \\emph{is} here \\cite{knuth}.", "# Intro\n\nText is here [knuth]."),
+        ("\\begin{enumerate}\n\\item one thing\n\\item two things\n\\end{enumerate}", "1. one thing\n2. two things"),
+        ("| a | b |\n|---|---|\n| 1 | 2 |", "a | b\n1 | 2"),
+        ("Noted.[^1]\n\n[^1]: The note [x].", "Noted.[1]\n\n[1] The note [x]."),
+        ("[the *page*](https://a.b/c) &amp; ![alt](u.png)", "the page & alt"),
+    ],
+)
+def test_clean_text(text, want):
+    assert cleaned(text) == want
+
+
+def test_markup_of_any_length_and_depth():
+    from tesserine.llm.markup import markup_of
+
+    for formula in ("\\[ " + "x_1 + " * 70 + "y \\]", "\\( " + "x_1 + " * 70 + "y \\)"):
+        nodes, chosen = markup_of([f"Holds for {formula} only."])[0]
+        assert formula in {f"Holds for {formula} only."[n.begin : n.end] for n, c in zip(nodes, chosen) if c}
+    assert cleaned("<b>" * 3000 + "x" + "</b>" * 3000) == "x"
+    for unclosed in ("<!-- ", "\\( ", "[[", "`", "<b ", "__a ", "```\n", "{{", "*a "):
+        markup_of([unclosed * 4000])
+
+
+def test_markup_rules_hold_no_wording_of_the_tables():
+    import os
+
+    import pyarrow.parquet as pq
+
+    from tesserine.llm import markup
 
-    assert cleaned("# Title here\n\nSome `code` and **bold** words.") == "Title here\n\nSome code and bold words."
-    assert cleaned("<p>One thing here.</p>\n<ul>\n<li>First thing here.</li>\n</ul>").split() == "One thing here. - First thing here.".split()
-    assert "O(n)" in cleaned("The cost is $O(n)$ for all of them.")
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    rows = pq.read_table(f"{folder}/modules.parquet", columns=["docstring", "functions", "classes"]).to_pylist()
+    texts = [x for r in rows for _, x in markup.symbols_of(r)]
+    for name, column in (("source_files", "content"), ("documents", "text"), ("eval_items", "text")):
+        texts += [x for x in pq.read_table(f"{folder}/{name}.parquet", columns=[column])[column].to_pylist() if x]
+    everything = "\0".join(texts)
+    for pattern in [p for _, ps in markup._MARKUP for p in ps] + markup._PLAIN + markup._MATH:
+        for literal in re.split(r"@|%|\?(?:inline|block|lone|entity|greek|env|type|up|math)", pattern):
+            assert len(literal) < 12 or literal not in everything, pattern
 
 
 def test_markup_operator(spark):
