@@ -2,10 +2,11 @@
 
 Every page gets features of density, entropy, repetition and function words over its whole text. Per language, centre and
 scatter are fitted robustly over all pages: first medians and median deviations, then concentration steps that refit mean
-and covariance to the half of the pages that lies nearest, everything as sums over all rows, so a third of spam in a
-language does not move the fit. Small languages shrink towards the pooled scatter. A page is flagged when its distance is
-an outlier (chi-square quantile) and its deviation points in a spam direction: fewer sentences together with
-repetition, with links, or with separators.
+and covariance to the half of the pages that lies nearest, then reweighting steps that refit them to all pages within the
+chi-square cut, so that all genres of ordinary pages shape the scatter. Everything is sums over all rows, and a third of
+spam in a language does not move the fit. Small languages shrink towards the pooled scatter. A page is flagged when its
+distance is an outlier (chi-square quantile) and its deviation points in a spam direction: fewer sentences together with
+repetition, with links, or with separators. No single feature decides.
 
 The language of a page is that whose function words it has most, else the labelled one; labels may be null or wrong.
 
@@ -27,9 +28,10 @@ from tesserine.session import map_rows, stored
 
 FEATURES = ["function_words", "sentences", "repetition", "entropy", "links", "separators", "tags"]
 FEWEST = 8
-#: 99.9 % quantile of chi-square with seven degrees of freedom, and its median. Fixed values.
-CUT, MEDIAN = 24.32, 6.346
-STEPS = 2
+#: Quantiles of chi-square with seven degrees of freedom: 99.99 % (outliers), 99.9 % (pages of the refit), median. Fixed values.
+CUT, NEAR, MEDIAN = 29.88, 24.32, 6.346
+#: Concentration steps, and reweighting steps after them.
+STEPS, REFITS = 2, 2
 #: Words of an ordinary page that every page is counted as having besides its own, so that short pages are judged mildly.
 PRIOR = 6
 #: A deviation points at spam when it has this cosine with a spam direction.
@@ -94,11 +96,11 @@ def page_features(text: str | None, label: str | None) -> tuple[str, list[float]
     known = WORDS[language]
     pairs = Counter(chain.from_iterable(zip(x, x[1:]) for x, _ in segments))
     top, favourite = 0, None
-    if pairs:
-        for p, c in sorted(pairs.items(), key=lambda y: (-y[1], y[0])) if len(pairs) < 64 else pairs.most_common(64):
-            if p[0] not in known and p[1] not in known:
-                top, favourite = c, p if c > 2 else None
-                break
+    for p, c in pairs.items():
+        if (c > top or c == top and p < favourite) and p[0] not in known and p[1] not in known:
+            top, favourite = c, p
+    if top <= 2:
+        favourite = None
     in_sentences = function_words = 0
     for (segment, ended), hit in zip(segments, hits):
         m = len(segment)
@@ -202,7 +204,7 @@ def _distances(points: DataFrame, model: dict[str, tuple]) -> DataFrame:
 
 
 def fit(points: DataFrame) -> dict[str, tuple]:
-    """Robust centre, scatter and distance scale per language: {language: (mean, covariance)}."""
+    """Robust centre and scatter per language: {language: (mean, covariance)}."""
     import numpy as np
 
     k = len(FEATURES)
@@ -220,7 +222,10 @@ def fit(points: DataFrame) -> dict[str, tuple]:
         model = _moments(_sums(near.where(F.col("distance") <= limit[F.col("language")])))
     near = _distances(points, model)
     scale = {r.language: max(1.0, r.h / MEDIAN) for r in near.groupBy("language").agg(F.percentile_approx("distance", 0.5, 10000).alias("h")).collect()}
-    return {g: (m, c * scale.get(g, 1.0)) for g, (m, c) in model.items()}
+    model = {g: (m, c * scale.get(g, 1.0)) for g, (m, c) in model.items()}
+    for _ in range(REFITS):
+        model = model | _moments(_sums(_distances(points, model).where(F.col("distance") <= NEAR)))
+    return model
 
 
 def scored_pages(documents: DataFrame) -> DataFrame:
@@ -228,7 +233,7 @@ def scored_pages(documents: DataFrame) -> DataFrame:
     points = stored(features(documents), "p10-features")
     model = fit(points)
     scored = _distances(points, model)
-    return scored.withColumn("spam", (F.col("distance") > CUT) & (F.col("direction") > COSINE) & (F.col("sentences") < 0.5)).dropDuplicates(["doc_id"])
+    return scored.withColumn("spam", (F.col("distance") > CUT) & (F.col("direction") > COSINE)).dropDuplicates(["doc_id"])
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:
