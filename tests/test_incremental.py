@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tesserine.operators.incremental import IncrementalTable, changed_partitions, current_versions, fingerprints, pending_versions, with_partition
+from tesserine.operators.incremental import IncrementalTable, PartitionedSource, changed_partitions, current_versions, fingerprints, pending_versions, with_partition
 
 SCHEMA = "k string, v string"
 
@@ -16,7 +16,7 @@ def table(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def compute(df):
+def compute(df, parts=None):
     return df.select("k", F.upper("v").alias("u"), "part")
 
 
@@ -43,7 +43,7 @@ def test_incremental_table(spark, tmp_path):
     rows[3] = ("k3", "new")
     seen = []
 
-    def watched(df):
+    def watched(df, parts):
         seen.append(df.count())
         return compute(df)
 
@@ -51,19 +51,53 @@ def test_incremental_table(spark, tmp_path):
     # A run that fails before or after the results are written is repeated as a whole.
     rows[4] = ("k4", "later")
 
-    def broken(df):
+    def broken(df, parts):
         raise RuntimeError
 
     with pytest.raises(RuntimeError):
         t.run(table(spark, rows), broken)
     dealt = with_partition(table(spark, rows), ["k"], 16)
     half = dealt.join(dealt.where("k = 'k4'").select("part"), "part", "left_semi")
-    compute(half).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{t.folder}/result")
+    t._write(compute(half).withColumn("__mark", F.lit(False)), "result")
     assert t.run(table(spark, rows), compute) == 1 and ("k4", "LATER") in result(t) and len(result(t)) == 100
     assert t.run(table(spark, rows[:50]), compute) > 0 and len(result(t)) == 50
     assert t.run(table(spark, []), compute) > 0 and result(t) == []
 
 
+def test_partitions_left_without_results_are_replaced(spark, tmp_path):
+    t = IncrementalTable(spark, str(tmp_path / "t"), ["k"], ["k", "v"], 4)
+    kept = lambda df, parts: df.where("v <> 'gone'").select("k", F.upper("v").alias("u"), "part")
+    assert t.run(table(spark, [(f"k{i}", "v") for i in range(8)]), kept) == 4 and len(result(t)) == 8
+    assert t.run(table(spark, [(f"k{i}", "gone") for i in range(8)]), kept) == 4 and result(t) == []
+    assert t.run(table(spark, [(f"k{i}", "gone") for i in range(8)]), kept) == 0 and result(t) == []
+
+
+def test_only_changed_partitions_of_a_stored_source_are_read(spark, tmp_path):
+    source = PartitionedSource(spark, str(tmp_path / "s"), ["k"], ["k", "v"], 16)
+    t = IncrementalTable(spark, str(tmp_path / "t"), ["k"], ["k", "v"], 16)
+    source.append(table(spark, [(f"k{i}", f"v{i}") for i in range(200)] + [("hot", "x")] * 100), "one")
+    assert t.run(source, compute) == 16 and len(result(t)) == 300
+    source.append(table(spark, [("k3", "more")]), "two")
+    source.append(table(spark, [("k3", "more")]), "two")  # delivered again
+    whole = sum(len(f.inputFiles()) for f in [source.rows()])
+    read = []
+
+    def watched(df, parts):
+        scanned = df.select("k", "v", "part")
+        read.append((parts, len(scanned.select("part").distinct().collect()), scanned.count()))
+        plan = scanned._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(part" in plan or "PartitionFilters: [part" in plan, plan
+        return compute(df)
+
+    assert t.run(source, watched) == 1 and whole >= 17
+    assert read[0][1] == 1 and read[0][2] < 150 and len(result(t)) == 301 and ("k3", "MORE") in result(t)
+    # A batch whose fingerprints were not written does not count, and its repetition does.
+    source._delete("fingerprints/batch=two")
+    assert t.run(source, compute) == 1 and len(result(t)) == 300
+    source.append(table(spark, [("k3", "more")]), "two")
+    assert t.run(source, compute) == 1 and len(result(t)) == 301 and t.run(source, compute) == 0
+
+
 def versions(r, n):
     day = datetime(2026, 1, 1)
     files, cache = [], []
