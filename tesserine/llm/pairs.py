@@ -1,12 +1,14 @@
 """Problem 4: functions paired with their documentation.
 
-A packrat grammar per language reads a file line by line into definitions with the comments directly above them (and above
-their decorators), keeping offsets; its captures are the pairs. They meet the functions and methods of the parsed modules
-by file and line: the docstring there is the documentation, and where it is empty, the comment of the pair. A pair stays
-when its documentation says something, see :func:`informative`.
-
-Cases: null docstrings count as empty; null content has no comments; a module row without its file keeps its docstrings; a
-repeated row gives one pair; files in other languages than the seven are read by no grammar. Empty tables give empty results.
+A packrat grammar per language reads a file into definitions with the comments directly above them (and above their
+decorators) and the docstring within them, keeping offsets; a rule of the same grammar reads each definition's body, so its
+code ends where the grammar says. The semantic action emits the pair with name, parameters, documentation and code. Pairs
+meet the functions and methods of the parsed modules by file and line: the module's docstring is the documentation, and
+where it is empty, the comment of the pair. A pair stays when its documentation says something, see :func:`informative`.
+
+Cases: null docstrings count as empty; null content has no pairs; a function whose file or definition is missing is judged by
+its docstring and has no code; overloads are told apart by their lines; a repeated row gives one pair; files in other
+languages than the seven are read by no grammar. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,15 +32,18 @@ group <- ~\(~ (group / string / inside / ~[^()\"'`/]+|/~)* ~\)~
 inside <- ~//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/~
 string <- ~\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|'~
 skip <- ~[ \t]*/\*(?:[^*]|\*(?!/))*\*/[^\n]*\n?~ / ~[^\n`]*`[^`]*`[^\n]*\n?~ / ~[^\n]*\n~ / ~[^\n]+~
+braces <- ~\{~ item* ~\}~
 """
 GRAMMARS = {
     "python": r"""
 pair <- doc:doc? decorator* definition
 doc <- ~[ \t]*\#[^\n]*\n~+
 decorator <- ~[ \t]*@[\w.]+~ group? ~[^\n]*\n~
-definition <- ~[ \t]*~ def:~(?:async[ \t]+)?def\b~ ~[ \t]+~ name:~\w+~ ~[ \t]*~ params:group
+definition <- ~[ \t]*~ def:~(?:async[ \t]+)?def\b~ ~[ \t]+~ name:~\w+~ ~[ \t]*~ params:group docstring?
 group <- ~[(\[{]~ (group / string / ~\#[^\n]*~ / ~[^()\[\]{}\"'\#]+~)* ~[)\]}]~
 string <- ~\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'~
+logical <- (group / string / ~\#[^\n]*|\\\r?\n|[^()\[\]{}\"'\#\\\n]+|[\\\"')\]}]~)* ~\n~
+docstring <- ~[ \t]*(?:->[^\n]*?)?:[ \t]*(?:\#[^\n]*)?\n(?:[ \t]*(?:\#[^\n]*)?\n)*[ \t]+[rRuU]?~ inner:~\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'~
 skip <- ~[^\n\"'\#]*[rRbBuUfF]*(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')[^\n]*\n?~ / ~[^\n]*\n~ / ~[^\n]+~
 """,
     "javascript": r"""
@@ -47,22 +52,38 @@ decorator <- ~[ \t]*@[\w.]+~ group? ~[ \t]*\r?\n|[ \t]+~
 definition <- function / arrow / method
 function <- ~[ \t]*~ def:~(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function\b~ ~[ \t]*\*?[ \t]*~ name:~[\w$]+~ ~[ \t]*(?:<[^()]*>)?~ params:group
 arrow <- ~[ \t]*~ def:~(?:export[ \t]+)?(?:const|let|var)[ \t]+~ name:~[\w$]+~ ~[ \t]*(?::[^=\n]+)?=[ \t]*(?:async[ \t]*)?(?:<[^()]*>)?~ params:group ~[ \t]*(?::[^=\n]+)?=>~
-method <- ~[ \t]+~ def:~(?:(?:public|private|protected|static|async|override|abstract|readonly|get|set)[ \t]+)*~ ~\*?[ \t]*~ !reserved name:~\#?[A-Za-z_$][\w$]*~ ~[ \t]*\??(?:<[^()]*>)?~ params:group ~[ \t]*(?::[^\n]*?)?[{;]~
+method <- ~[ \t]+~ def:~(?:(?:public|private|protected|static|async|override|abstract|readonly|get|set)[ \t]+)*~ ~\*?[ \t]*~ !reserved name:~\#?[A-Za-z_$][\w$]*~ ~[ \t]*\??(?:<[^()]*>)?~ params:group ~[ \t]*(?::[^\n]*?)?\{|[ \t]*:[^\n{]*;~
 reserved <- ~(?:if|for|while|switch|catch|return|function|throw|new|typeof|await|super|with|do|else)\b~
+literal <- ~\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'~ / template / ~(?:(?<=[(=:,;!&|?\[+{}\n])|(?<=[(=:,;!&|?+] )|(?<=return ))/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*|[\"']~
+template <- ~`~ (~[^`\\$]+|\\[\s\S]|\$(?!\{)~ / ~\$~ braces)* ~`~
+item <- braces / literal / inside / ~[^{}\"'`/]+|/~
+head <- group / literal / inside / ~[^{};()\"'`/\n]+|/|\r?\n(?=[ \t\r\n]*[{:])~
+squares <- ~\[~ (squares / group / literal / inside / braces / ~[^\[\](){}\"'`/]+|/~)* ~\]~
+round <- ~\(~ (round / squares / literal / inside / braces / ~[^\[\](){}\"'`/]+|/~)* ~\)~
+value <- (round / squares / braces / literal / inside / ~[^\[\](){}\"'`/;,\n]+|/|\r?\n(?=[ \t]*[.?:|&+*)=])|,(?=[ \t]*\n)~)+
+body <- ~[ \t]*(?::[^=\n]+)?=>[ \t\r\n]*~ (braces / value) ~;?~ / head* (~;~ / braces (~[ \t]*(?=\{)~ braces)?)
 """
     + _C_COMMENTS,
     "go": r"""
 pair <- doc:doc? definition
 definition <- def:~func\b~ ~[ \t]+~ group? ~[ \t]*~ name:~\w+~ ~(?:\[[^\n(]*\])?~ params:group
+literal <- ~\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\.)+'|[\"'`]~
+item <- braces / literal / inside / ~[^{}\"'`/]+|/~
+head <- group / literal / inside / ~[^{};()\"'`/\n]+|/~
+body <- head* braces (~[ \t]*(?=\{)~ braces)?
 """
     + _C_COMMENTS,
     "java": r"""
 pair <- doc:doc? decorator* definition
 decorator <- ~[ \t]*@(?!interface)[\w.]+~ group? ~[ \t]*\r?\n|[ \t]+~
 definition <- ~[ \t]+~ !reserved def:~(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)[ \t]+)*~ ~(?:<[^()\n]*>[ \t]+)?~ !reserved (typed / bare)
-typed <- ~[\w.]+(?:<[^()\n;=]*>)?(?:\[\])*[ \t]+~ !reserved name:~\w+~ ~[ \t]*~ params:group ~[ \t]*(?:throws[^{;\n]*)?[{;]~
-bare <- name:~\w+~ ~[ \t]*~ params:group ~[ \t]*(?:throws[^{;\n]*)?\{~
+typed <- ~[\w.]+(?:<[^()\n;=]*>)?(?:\[\])*[ \t]+~ !reserved name:~\w+~ ~[ \t]*~ params:group ~\s*(?:throws[^{;]*)?[{;]~
+bare <- name:~\w+~ ~[ \t]*~ params:group ~\s*(?:throws[^{;]*)?\{~
 reserved <- ~(?:if|for|while|switch|catch|return|throw|new|else|try|do|synchronized[ \t]*\(|assert|super|this)\b~
+literal <- ~\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)+'|[\"']~
+item <- braces / literal / inside / ~[^{}\"'/]+|/~
+head <- group / literal / inside / ~[^{};()\"'/]+|/~
+body <- head* (~;~ / braces)
 """
     + _C_COMMENTS,
     "ruby": r"""
@@ -72,11 +93,20 @@ definition <- ~[ \t]*(?:(?:private|protected|public|module_function)[ \t]+)?~ de
 group <- ~\(~ (group / string / ~[^()\"'\#]+|\#~)* ~\)~
 string <- ~\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'~
 skip <- ~=begin\b[\s\S]*?\n=end[^\n]*\n?~ / ~[^\n]*\n~ / ~[^\n]+~
+body <- ~[ \t]*=(?![=\~])[^\n]*~ / rest ~\bend\b~
+rest <- (nested / text / !~\bend\b~ ~\w+[?!]?|[^\w]~)*
+nested <- ~(?:^|(?<=[\n;=(|{,]))[ \t]*(?:while|until|for)\b[^\n;\#]*?(?:\bdo\b(?=[ \t]*[\n;\#])|(?=[\n;\#]))~ rest ~\bend\b~ / ~(?:^|(?<=[\n;=(|{,]))[ \t]*(?:if|unless|case|begin|class|module|def)\b(?![?!:=.])~ rest ~\bend\b~ / ~\bdo\b(?![?!:=])~ rest ~\bend\b~
+text <- ~\n=begin\b[\s\S]*?\n=end[^\n]*~ / ~\#(?!\{)[^\n]*~ / ~<<[\~-]?([\"'`]?)([A-Z_]\w*)\1[^\n]*\n[\s\S]*?\n[ \t]*\2(?=\s)~ / ~\"(?:[^\"\\]|\\[\s\S])*\"|'(?:[^'\\]|\\[\s\S])*'|`[^`\n]*`~ / ~:\w+|\w+:(?!:)|@+\w+|\$\w+|\.\w+|(?:(?<=[(=,\~!|&])|(?<=[(=,\~!|&] ))/(?:[^/\\\n]|\\.)+/[a-z]*~
 """,
     "rust": r"""
 pair <- doc:doc? decorator* definition
 decorator <- ~[ \t]*\#\[[^\n]*\][ \t]*\r?\n~
 definition <- ~[ \t]*~ def:~(?:pub(?:\([^)]*\))?[ \t]+)?(?:(?:default|const|async|unsafe|extern(?:[ \t]+\"[^\"]*\")?)[ \t]+)*fn\b~ ~[ \t]+~ name:~\w+~ ~(?:<[^()]*?(?:\([^()]*\)[^()]*?)*?>(?=\())?~ params:group
+literal <- ~\bb?r(\#*)\"[\s\S]*?\"\1|\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\[^\n]*?)'|[\"'br]~
+nest <- ~/\*~ (nest / ~[^*/]+|\*(?!/)|/(?!\*)~)* ~\*/~
+item <- braces / nest / ~//[^\n]*~ / literal / ~[^{}\"'/br]+|/~
+head <- group / nest / ~//[^\n]*~ / literal / ~[^{};()\"'/br]+|/~
+body <- head* (~;~ / braces)
 """
     + _C_COMMENTS,
 }
@@ -89,22 +119,49 @@ def grammar(language: str) -> Grammar:
     return Grammar(GRAMMARS[language])
 
 
-def pairs_of(text: str, language: str) -> list[dict]:
-    """Definitions in a text: line, name, params, doc and the offsets of definition and doc."""
+def pairs_of(text: str, language: str, bodies: bool = False) -> list[dict]:
+    """Definitions in a text: line, name, params, doc (above), inner (docstring), offsets; ``end`` is the body's with ``bodies``."""
     out, line, last = [], 1, 0
     if not text.endswith("\n"):
         text += "\n"
-    for begin, end, captures in grammar(language).each("pair", "skip", text):
+    memo: dict = {}
+    rules = grammar(language)
+    for _, end, captures in rules.each("pair", "skip", text, memo):
         got = {c[0]: (c[1], c[2]) for c in captures}
         at = got["def"][0]
         line += text.count("\n", last, at)
         last = at
-        doc = got.get("doc")
-        params = got.get("params")
-        out.append({"line": line, "name": text[slice(*got["name"])], "params": text[slice(*params)] if params else "", "doc": text[slice(*doc)] if doc else "", "begin": at, "end": end, "doc_begin": doc[0] if doc else at})
+        doc, params, inner = got.get("doc"), got.get("params"), got.get("inner")
+        begin = text.rfind("\n", 0, at) + 1
+        if bodies:
+            end = body_end(text, begin, params[1] if params else got["name"][1], language, rules, memo)
+        out.append({"line": line, "name": text[slice(*got["name"])], "params": text[slice(*params)] if params else "", "doc": text[slice(*doc)] if doc else "", "inner": text[slice(*inner)] if inner else "", "begin": begin, "end": end, "doc_begin": doc[0] if doc else begin})
     return out
 
 
+def body_end(text: str, begin: int, at: int, language: str, rules: Grammar, memo: dict) -> int:
+    """Where the definition that begins at ``begin`` and whose parameters end at ``at`` ends; the end of its line, where the grammar finds no body."""
+    if language == "python":
+        depth = re.compile(r"[ \t]*").match(text, begin).end() - begin
+        r = rules.rules["logical"](text, at, memo)
+        end = kept = r[0] if r else len(text)
+        indent = re.compile(r"([ \t]*)([^\s\#])?")
+        while end < len(text):
+            m = indent.match(text, end)
+            if m.group(2) and len(m.group(1)) <= depth:
+                break
+            r = rules.rules["logical"](text, end, memo)
+            end = r[0] if r else len(text)
+            if m.group(2):
+                kept = end
+        return kept - 1 if text[kept - 1] == "\n" else kept
+    r = rules.rules["body"](text, at, memo)
+    if r is not None:
+        return r[0]
+    end = text.find("\n", at)
+    return end if end >= 0 else len(text)
+
+
 _MARKS = re.compile(r"(?m)^[ \t]*(?:/\*+!?|\*+/|\*+(?!\w)|//+[/!]?|#+(?!\[)!?|--)[ \t]?|\*+/[ \t]*\r?$")
 # What documentation that says nothing consists of.
 _DIRECTIVE = re.compile(r"(?i)^(?:eslint|tslint|jshint|jslint|prettier|biome|istanbul|c8|v8|webpack|noqa|nolint|nosec|pylint|flake8|mypy|pyright|ruff|isort|yapf|black|fmt|autopep8|pragma|type:\s*ignore|@ts-|rubocop|steep|sorbet|typed:|frozen_string_literal|clippy|rustfmt|cargo|go:|lint:|\+build|checkstyle|nosonar|noinspection|suppresswarnings|@formatter|swiftlint|coverage|codecov|vim:|-\*-|coding[:=]|region\b|endregion\b|stylelint|deno-|@jsx|@flow|cspell|spell-?check|shellcheck|cppcheck|pmd|spotless|sonar|nocov|simplecov|:nocov:|:nodoc:|@internal\b|@private\b|@api\b|@generated\b|@override\b|@deprecated\s*$|@hidden\b|@ignore\b|#\[)")
@@ -182,28 +239,32 @@ def informative(doc: str | None, name: str) -> bool:
 _SIGNS = {"rust": re.compile(r"\bfn \w"), "go": re.compile(r"(?m)^func "), "python": re.compile(r"(?m)^\s*(?:async )?def \w+\(.*:\s*$"), "javascript": re.compile(r"\bfunction\b|^import \{", re.M), "java": re.compile(r"\b(?:public|private) "), "ruby": re.compile(r"(?m)^\s*end\s*$")}
 
 
-def best_pairs(text: str, language: str | None) -> list[dict]:
-    """Pairs by the grammar of the file's language; where that finds nothing, of the language whose grammar finds most."""
-    found = pairs_of(text, language) if language in GRAMMARS else []
-    if not found:
+def best_pairs(text: str, language: str | None, bodies: bool = False) -> list[dict]:
+    """Pairs by the grammar of the file's language; where its signs are missing and others stand, of the language whose grammar finds most."""
+    found = pairs_of(text, language, bodies) if language in GRAMMARS else []
+    own = _SIGNS.get("javascript" if language == "typescript" else language or "")
+    if not found or own and not own.search(text):
         for other, sign in _SIGNS.items():
             if other != language and sign.search(text):
-                pairs = pairs_of(text, other)
+                pairs = pairs_of(text, other, bodies)
                 if len(pairs) > len(found):
                     found = pairs
     return found
 
 
-def _pair_rows(rows):
-    for r in rows:
-        if r["content"]:
-            for p in best_pairs(r["content"], language_of(r["path"], r["language"])):
-                yield r["file_id"], p["line"], p["name"], p["params"], p["doc"], p["begin"], p["end"], p["doc_begin"]
+def definitions(source_files: DataFrame, bodies: bool = False) -> DataFrame:
+    """All definitions found by the grammars: file_id, line, name, says (whether the comment above does), with ``bodies`` also doc, params and code."""
 
+    def run(rows):
+        for r in rows:
+            if r["content"]:
+                for p in best_pairs(r["content"], language_of(r["path"], r["language"]), bodies):
+                    says = bool(p["doc"]) and informative(p["doc"], p["name"])
+                    yield (r["file_id"], p["line"], p["name"], says, p["doc"], p["params"], r["content"][p["begin"] : p["end"]]) if bodies else (r["file_id"], p["line"], p["name"], says)
 
-def definitions(source_files: DataFrame) -> DataFrame:
-    """All definitions found by the grammars: file_id, line, name, params, doc and offsets."""
-    return map_rows(source_files, _pair_rows, "file_id bigint, line int, name string, params string, doc string, begin int, end int, doc_begin int", ["file_id", "path", "language", "content"])
+    schema = "file_id bigint, line int, name string, says boolean" + (", doc string, params string, code string" if bodies else "")
+    # Repeated versions of a file give the same pairs.
+    return map_rows(source_files, run, schema, ["file_id", "path", "language", "content"]).dropDuplicates(["file_id", "line"])
 
 
 def functions_of(modules: DataFrame) -> DataFrame:
@@ -217,58 +278,29 @@ def functions_of(modules: DataFrame) -> DataFrame:
     return modules.select("file_id", F.explode(F.concat(plain_, methods)).alias("f")).select("file_id", "f.*")
 
 
-def documented_functions(source_files: DataFrame, modules: DataFrame) -> DataFrame:
-    """Rows (file_id, symbol, name, params, doc) of functions whose documentation says something."""
-    functions = functions_of(modules)
-    blank = F.regexp_replace("docstring", r"\s", "") == ""
-    own = functions.where(~blank).select("file_id", "symbol", "name", "params", F.col("docstring").alias("doc"))
-    bare = functions.where(blank).select("file_id", "symbol", "name", "params", "line").distinct()
-    above = definitions(source_files).where("doc <> ''").groupBy("file_id", "line").agg(F.min("doc").alias("doc"))
-    found = bare.join(above, ["file_id", "line"]).select("file_id", "symbol", "name", "params", "doc")
+def judged_functions(modules: DataFrame, texts: bool = False) -> DataFrame:
+    """Functions and methods with what their docstring is worth: file_id, symbol, name, line, own (null: blank; else whether it says something)."""
 
     def run(rows):
         for r in rows:
-            if informative(r["doc"], r["name"]):
-                yield r["file_id"], r["symbol"], r["name"], r["params"], r["doc"]
+            doc = r["docstring"]
+            own = informative(doc, r["name"]) if doc.strip() else None
+            yield (r["file_id"], r["symbol"], r["name"], r["line"], own, r["params"], doc) if texts else (r["file_id"], r["symbol"], r["name"], r["line"], own)
 
-    schema = "file_id bigint, symbol string, name string, params array<string>, doc string"
-    return map_rows(own.unionByName(found), run, schema).dropDuplicates(["file_id", "symbol"])
+    schema = "file_id bigint, symbol string, name string, line int, own boolean" + (", params array<string>, docstring string" if texts else "")
+    return map_rows(functions_of(modules), run, schema)
 
 
-def code_description_pairs(source_files: DataFrame, modules: DataFrame) -> DataFrame:
-    """The pairs with the function's code: file_id, symbol, doc, code (from the definition to where its block ends)."""
-    documented = documented_functions(source_files, modules)
-    lines = functions_of(modules).select("file_id", "symbol", "line").dropDuplicates(["file_id", "symbol"])
-    wanted = documented.join(lines, ["file_id", "symbol"]).groupBy("file_id").agg(F.collect_set(F.struct("symbol", "line", "doc")).alias("wanted"))
-    texts = source_files.select("file_id", "path", "language", "content").where("content is not null").dropDuplicates(["file_id"]).join(wanted, "file_id")
+def documented_functions(source_files: DataFrame, modules: DataFrame) -> DataFrame:
+    """Rows (file_id, symbol) of functions whose documentation says something. Only keys and verdicts are shuffled."""
+    functions = judged_functions(modules).where("own is null or own").distinct()
+    pairs = definitions(source_files).select("file_id", "line", "says")
+    return functions.join(pairs, ["file_id", "line"], "left").where(F.coalesce("own", "says", F.lit(False))).select("file_id", "symbol").distinct()
 
-    def run(rows):
-        for r in rows:
-            language = language_of(r["path"], r["language"])
-            lines = r["content"].split("\n")
-            for w in r["wanted"]:
-                if w["line"] and 0 < w["line"] <= len(lines):
-                    yield r["file_id"], w["symbol"], w["doc"], block(lines, w["line"] - 1, language or "")
-
-    return map_rows(texts, run, "file_id bigint, symbol string, doc string, code string")
-
-
-def block(lines: list[str], at: int, language: str) -> str:
-    """The lines of the definition that begins at line ``at``: to the last line indented deeper, and its closing line."""
-    first = lines[at]
-    depth = len(first) - len(first.lstrip())
-    end = at + 1
-    opened = first.count("(") > first.count(")")
-    while end < len(lines):
-        line = lines[end]
-        s = line.strip()
-        if s and len(line) - len(line.lstrip()) <= depth:
-            if opened and s.startswith(")"):
-                opened = False
-                end += 1
-                continue
-            if language != "python" and (s.startswith("}") or s == "end" or s.startswith("end ")):
-                end += 1
-            break
-        end += 1
-    return "\n".join(lines[at:end]).rstrip()
+
+def code_description_pairs(source_files: DataFrame, modules: DataFrame) -> DataFrame:
+    """The pairs: file_id, symbol, line, name, params, doc, code (from the definition's line to the end of its body; null without file)."""
+    functions = judged_functions(modules, texts=True).where("own is null or own").distinct()
+    pairs = definitions(source_files, bodies=True).select("file_id", "line", "says", F.col("doc").alias("above"), "code")
+    found = functions.join(pairs, ["file_id", "line"], "left").where(F.coalesce("own", "says", F.lit(False)))
+    return found.select("file_id", "symbol", "line", "name", F.array_join("params", ", ").alias("params"), F.when(F.col("own"), F.col("docstring")).otherwise(F.col("above")).alias("doc"), "code").distinct()

@@ -8,11 +8,14 @@ Every rule's outcome is remembered per place, so parsing takes time linear in th
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable
 
 #: A parse from a place: None, or (end, captures), a capture being (label, begin, end, inner captures).
 Outcome = tuple[int, tuple] | None
 Parser = Callable[[str, int, dict], Outcome]
+#: Frames for deeply nested texts.
+FRAMES = 500_000
 _TOKENS = re.compile(r"\s+|~((?:[^~\\]|\\.)+)~|(\w+):(?=[\w(~])|(\w+)|([()/*+?!&])")
 
 
@@ -150,17 +153,25 @@ class Grammar:
         """Outcome of a rule at a place."""
         return self.rules[rule](text, at, {})
 
-    def each(self, rule: str, skip: str, text: str):
-        """Captures of ``rule`` wherever it holds, from top to bottom, stepping over the rest with ``skip``."""
-        at, memo, n = 0, {}, len(text)
+    def each(self, rule: str, skip: str, text: str, memo: dict | None = None):
+        """Captures of ``rule`` wherever it holds, from top to bottom, stepping over the rest with ``skip``.
+
+        Nested rules take frames of the interpreter, which lie on the heap; the limit is lifted while a text is read.
+        """
+        at, memo, n = 0, {} if memo is None else memo, len(text)
         rules = self.rules
-        while at < n:
-            r = rules[rule](text, at, memo)
-            if r is not None and r[0] > at:
-                yield at, r[0], r[1]
+        frames = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(frames, FRAMES))
+        try:
+            while at < n:
+                r = rules[rule](text, at, memo)
+                if r is not None and r[0] > at:
+                    yield at, r[0], r[1]
+                    at = r[0]
+                    continue
+                r = rules[skip](text, at, memo)
+                if r is None or r[0] <= at:
+                    return
                 at = r[0]
-                continue
-            r = rules[skip](text, at, memo)
-            if r is None or r[0] <= at:
-                return
-            at = r[0]
+        finally:
+            sys.setrecursionlimit(frames)

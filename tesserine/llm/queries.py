@@ -67,7 +67,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Functions and methods whose documentation says something."""
     from tesserine.llm.pairs import documented_functions
 
-    return documented_functions(table(spark, folder, "source_files"), _modules(spark, folder, _FUNCTIONS)).select("file_id", "symbol")
+    return documented_functions(table(spark, folder, "source_files"), _modules(spark, folder, _FUNCTIONS))
 
 
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:

@@ -291,6 +291,51 @@ def test_grammars(language):
     assert all(text[p["doc_begin"] :].startswith(p["doc"]) for p in got)
 
 
+BODIES = {
+    "python": ('class A:\n    def f(self, a=")"):\n        """Doc."""\n        x = """\nflush\n"""\n        return (1,\n2)\n\n    # c\n\n    def g(self): pass\nx = 1\n', ['    def f(self, a=")"):\n        """Doc."""\n        x = """\nflush\n"""\n        return (1,\n2)', "    def g(self): pass"]),
+    "javascript": ('export function f(a) {\n  const r = /[}"]/g; return `x${ {a:1}.a }`;\n}\nconst c = (a, b) =>\n  a + b;\nconst d = async (x) => {\n  z();\n};\n', ['export function f(a) {\n  const r = /[}"]/g; return `x${ {a:1}.a }`;\n}', "const c = (a, b) =>\n  a + b;", "const d = async (x) => {\n  z();\n};"]),
+    "typescript": ("function g(a: string): { x: number } {\n  return { x: 1 };\n}\n", ["function g(a: string): { x: number } {\n  return { x: 1 };\n}"]),
+    "go": ("package p\nfunc (x *T) F(a int) (int, error) {\n\ts := `}`\n\treturn 1, nil\n}\nfunc G() interface{} {\n\treturn '}'\n}\n", ["func (x *T) F(a int) (int, error) {\n\ts := `}`\n\treturn 1, nil\n}", "func G() interface{} {\n\treturn '}'\n}"]),
+    "java": ('class K {\n    public int add(int a)\n    {\n        String s = "}"; // }\n        return 1;\n    }\n    abstract void z();\n}\n', ['    public int add(int a)\n    {\n        String s = "}"; // }\n        return 1;\n    }', "    abstract void z();"]),
+    "ruby": ("class A\n  def f(a)\n    x = if a then 1 else 2 end\n    y.each do |z|\n      puts 'end' if z\n    end\n    while a do\n      b\n    end\n    return :end unless q\n  end\n\n  def g = 3\n\n  def h\n    s = <<~EOS\n      end\n    EOS\n  end\nend\n", ["  def f(a)\n    x = if a then 1 else 2 end\n    y.each do |z|\n      puts 'end' if z\n    end\n    while a do\n      b\n    end\n    return :end unless q\n  end", "  def g = 3", "  def h\n    s = <<~EOS\n      end\n    EOS\n  end"]),
+    "rust": ("pub fn f<'a, T>(a: &'a T) -> i32\nwhere\n    T: X,\n{\n    let s = r#\"}\"#; let c = '}'; /* } /* } */ */\n    1\n}\n", ["pub fn f<'a, T>(a: &'a T) -> i32\nwhere\n    T: X,\n{\n    let s = r#\"}\"#; let c = '}'; /* } /* } */ */\n    1\n}"]),
+}
+
+
+@pytest.mark.parametrize("language", BODIES)
+def test_bodies_end_where_the_grammar_says(language):
+    from tesserine.llm.pairs import pairs_of
+
+    text, want = BODIES[language]
+    assert [text[p["begin"] : p["end"]] for p in pairs_of(text, language, bodies=True)] == want
+
+
+def test_deep_bodies_and_docstrings_within():
+    from tesserine.llm.pairs import pairs_of
+
+    deep = "function f() {" + "{" * 3000 + "}" * 3000 + "}\n"
+    assert pairs_of(deep, "javascript", bodies=True)[0]["end"] == len(deep) - 1
+    assert pairs_of('def f(a) -> int:\n    """Says it."""\n    return 1\n', "python")[0]["inner"] == '"""Says it."""'
+
+
+def test_overloads_keep_their_own_code(spark):
+    from tesserine.llm.pairs import code_description_pairs, documented_functions
+
+    rows, mods = [], []
+    for i in range(40):
+        text = f"class K{i} {{\n    /** Adds the wooden number {i} to the total. */\n    int add(int a)\n    {{\n        return a + {i};\n    }}\n\n    /** Joins both halves with a comma. */\n    int add(int a, int b) {{\n        return b - {i};\n    }}\n\n    // Empties the basket of the garden.\n    void drop() {{ x(); }}\n}}\n"
+        rows.append((i, "r", f"K{i}.java", "java", text))
+        mods.append((i, "r", "", [], [(f"K{i}", "", [], [fn("add", f"Adds the wooden number {i} to the total.", 3), fn("add", "", 9), fn("drop", "", 14)], [], 1)], []))
+    src, m = files(spark, rows), modules(spark, mods)
+    got = {(r.file_id, r.line): r for r in code_description_pairs(src, m).collect()}
+    assert len(got) == 120
+    for i in range(40):
+        assert got[i, 3].code.endswith(f"return a + {i};\n    }}") and f"number {i}" in got[i, 3].doc
+        assert got[i, 9].code.endswith(f"return b - {i};\n    }}") and "comma" in got[i, 9].doc
+        assert got[i, 14].code == "    void drop() { x(); }" and got[i, 14].symbol == f"K{i}.drop"
+    assert documented_functions(src, m).count() == 80
+
+
 def test_packrat():
     from tesserine.llm.peg import Grammar
 
