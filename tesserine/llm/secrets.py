@@ -1,17 +1,21 @@
 """Problem 7: credentials embedded in source code, by a corpus-wide index of literals and a second scan with an automaton.
 
-1. Every file's literals and comments, and the constants of the parsed modules, give candidates: values of a known secret
-   structure (private keys, signed tokens, issuer tokens, logins in addresses, encoded logins, settings strings), and values
-   whose name or comment speaks of a secret and that look random. A candidate is indexed by its value.
+1. Every literal of every file, every constant of the parsed modules and every value of a known secret structure (private
+   keys, signed tokens, issuer tokens, logins in addresses, encoded logins, settings strings, values named in comments) is
+   indexed by its hash and repository. Those that stand where a secret stands (by structure, name or comment) are candidates.
 2. Over the whole index, values that more than ``OWNERS`` repositories use are placeholders and drop out.
-3. What is left is confirmed. Its texts go into an automaton, and every file is scanned again for them, so that a confirmed
-   secret is also found where nothing around it gives it away. The set is broadcast in blocks of ``BLOCK`` texts, one pass
-   per block, so the size of what is broadcast is bounded whatever the corpus holds.
+3. What is rare is confirmed by its structure: placeholders, templates, names and words that nobody else uses fall here.
+4. Every file is scanned again for the confirmed texts, so that a secret is also found where nothing around it gives it away.
+   Whole runs of letters and digits of a secret are its anchor. A bitmap of all anchors, ``BITS`` large whatever the corpus
+   holds, is broadcast; one pass over the files sends on those that hold an anchor, they meet their secrets in a join on
+   anchors, and an automaton of those secrets reads them.
 
-The redacted content replaces the secret part only, keeping quotes, length and line breaks, so that code still parses.
+The redacted content replaces the secret parts only, keeping quotes, length and line breaks, so that code still parses;
+secrets that overlap are masked as one.
 
 Cases: null content or constants give nothing; a null repository counts as one owner; repeated versions give one row; a
-secret that spans lines counts on its first; several secrets on a line count once; empty tables give empty results.
+secret that spans lines counts on its first; several secrets on a line count once; empty tables give empty results. Values
+of any length and lines of any length are read whole.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 from tesserine.session import map_rows, stored
 
 OWNERS = 3
-BLOCK = 50_000
+#: Size of the bitmap of anchors, in bits: 8 MB. More secrets fill it further and send on more files, and lose none.
+BITS = 1 << 26
+BATCH = 256
 
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:\\n|\\r|[\s\"'+*#/,]|Proc-Type[^\n]*|DEK-Info[^\n]*|Version[^\n]*)*([A-Za-z0-9+/=]{24,})")
 _PEM_BODY = re.compile(r"(?:\\[nrt]|[A-Za-z0-9+/=]|[\s\"'`\\*#,.]+(?=[A-Za-z0-9+/=]{24}))*+")
@@ -48,10 +54,10 @@ _LEADS = re.compile(r"[:=/]|\b(?:is|was|are)\b")
 _SECRET_WORDS = frozenset("password passwd pwd pw pass passphrase phrase secret token auth login cred creds credential credentials apikey key passcode pin signing access".split())
 _HARMLESS_WORDS = frozenset("pattern regex field fields kind type name names length min max id ids uid uuid icon image checksum sha md5 hash etag commit revision integrity fingerprint verifier public pub endpoint".split())
 _DIGEST_PREFIX = frozenset(["sha", "sha1", "sha256", "sha384", "sha512", "md5", "crc32", "rev", "urn"])
-_QUOTED = re.compile(r"(\(\s*)?(?:\"[^\"]*\"|'[^']*')")
 _FIRST = re.compile(r"\s*(?:(?:export|pub(?:lic)?|private|protected|static|final|const|let|var|mut|String|val)\s+|self\.|this\.|@)*([A-Za-z_]\w*)\s*(?::|=|\()")
 _BEFORE = re.compile(r"(?:[=:(,]|\?\?|\|\||=>|\bor)\s*$")
 _NAME = re.compile(r"[A-Za-z_]\w*")
+_COMMENT_START = re.compile(r"\s*(?:#|//|\*|/\*|--)")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _HEX = re.compile(r"(?:[0-9a-f]{16,}|[0-9A-F]{16,})")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
@@ -64,8 +70,8 @@ def name_words(name: str) -> list[str]:
 
 
 def looks_random(value: str, least: int = 6) -> bool:
-    """Whether a value without white space is no word, name, path, version or placeholder."""
-    if len(value) < least or _PLACEHOLDER.search(value) or _UUID.fullmatch(value):
+    """Whether a value without white space is no word, name, path or version."""
+    if len(value) < least:
         return False
     if value[0] in "./\\^" or "://" in value or value.startswith("data:") or re.search(r"\[[^\]]*\][+*?]|\\[dw]", value):
         return False
@@ -87,18 +93,36 @@ def looks_random(value: str, least: int = 6) -> bool:
     return odd and len(value) >= 8 or bool(symbols) and (odd or digits) and len(value) >= 6
 
 
-def _password(value: str) -> bool:
-    """Whether the password part of an address or setting is a real one."""
-    return len(value) >= 4 and not _PLACEHOLDER.search(value) and not re.fullmatch(r"(?i)(?:password|passwd|pass|pwd|secret|token|\w*_password|\w*_token)", value)
-
-
 def _issued(prefix: str, rest: str) -> bool:
-    if prefix.rstrip("-_:.").lower() in _DIGEST_PREFIX or _PLACEHOLDER.search(prefix + rest):
+    if prefix.rstrip("-_:.").lower() in _DIGEST_PREFIX:
         return False
     mixed = any(c.islower() for c in rest) and any(c.isupper() for c in rest)
     return mixed and (any(c.isdigit() for c in rest) and len(set(rest)) >= 9 or len(rest) >= 20 and len(set(rest)) >= 12)
 
 
+def structured(kind: str, value: str) -> bool:
+    """Whether a rare candidate has the structure of a secret and is no placeholder, template or name."""
+    if kind == "private key":
+        return True
+    if kind == "encoded login":
+        value = _login(value) or ""
+    if _PLACEHOLDER.search(value):
+        return False
+    if kind in ("address", "setting", "encoded login"):
+        return len(value) >= 4 and not re.fullmatch(r"(?i)(?:password|passwd|pass|pwd|secret|token|\w*_password|\w*_token)", value)
+    return not _UUID.fullmatch(value)
+
+
+def _login(encoded: str) -> str | None:
+    """The password in an encoded login."""
+    try:
+        inner = base64.b64decode(encoded, validate=True).decode("ascii")
+    except (binascii.Error, UnicodeDecodeError):
+        return None
+    user, colon, word = inner.partition(":")
+    return word if colon and user and word and inner.isprintable() else None
+
+
 def _named(words: list[str], value: str) -> bool:
     """Whether a value under a name of these words is a secret."""
     if not any(w in _SECRET_WORDS for w in words) or any(w in _HARMLESS_WORDS for w in words):
@@ -123,28 +147,22 @@ def key_value(text: str, begin: int) -> str:
     return hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def candidates(text: str) -> list[tuple[int, str, str, str]]:
-    """(offset, needle, value, kind) of all candidates in a text; the needle is the text as it stands there."""
+def candidates(text: str, literals: set[str] | None = None) -> list[tuple[int, str, str, str]]:
+    """(offset, needle, value, kind) of all candidates in a text; the needle is the text as it stands there. ``literals`` collects all literals."""
     out = []
     if "PRIVATE KEY" in text:
         for m in _PEM.finditer(text):
             out.append((m.start(), m.group(1)[:64], key_value(text, m.start(1)), "private key"))
     if "eyJ" in text:
         for m in _JWT.finditer(text):
-            if not _PLACEHOLDER.search(m.group()):
-                out.append((m.start(), m.group(), m.group(), "signed token"))
+            out.append((m.start(), m.group(), m.group(), "signed token"))
     if "://" in text:
         for m in _URL.finditer(text):
-            if _password(m.group(2)) and not _PLACEHOLDER.search(m.group(1)):
+            if not _PLACEHOLDER.search(m.group(1)):
                 out.append((m.start(), m.group()[:-2], m.group(2), "address"))
     if "Basic " in text:
         for m in _BASIC.finditer(text):
-            try:
-                inner = base64.b64decode(m.group(1), validate=True).decode("ascii")
-            except (binascii.Error, UnicodeDecodeError):
-                continue
-            user, colon, word = inner.partition(":")
-            if colon and user and _password(word) and inner.isprintable():
+            if _login(m.group(1)) is not None:
                 out.append((m.start(), m.group(1), m.group(1), "encoded login"))
     for m in _LONG.finditer(text):
         p = _ISSUER.search(text, max(0, m.start() - 14), m.start())
@@ -159,36 +177,44 @@ def candidates(text: str) -> list[tuple[int, str, str, str]]:
         if _issued(head[:cut], head[cut:] + m.group(3)):
             out.append((m.start(), m.group(), head + m.group(3), "issued token"))
     if "=" in text and any(k in lower for k in ("password", "passwd", "pwd", "secret", "token", "key", "passphrase")):
+        line, done, odd = -1, 0, {}
         for m in _SETTING.finditer(text):
             value = m.group(2)
-            if value[-1] not in "()" and _password(value) and not (value.isalpha() and (value.islower() or value.istitle())) and not re.search(r"[()\[\]]|\w\.\w+\(", value):
-                inside = text.rfind("\n", 0, m.start()) + 1
-                before = text[inside : m.start()]
-                if before.count('"') % 2 or before.count("'") % 2 or before.count("`") % 2 or re.match(r"\s*(?:#|//|\*|/\*|--)", before):
-                    out.append((m.start(), m.group(), value, "setting"))
+            if value[-1] in "()" or value.isalpha() and (value.islower() or value.istitle()) or re.search(r"[()\[\]]|\w\.\w+\(", value):
+                continue
+            at = text.rfind("\n", done, m.start()) + 1 or (line if line >= 0 else 0)
+            if at != line:  # quotes are counted once along a line
+                line, done, odd = at, at, dict.fromkeys("\"'`", 0)
+            for q in odd:
+                odd[q] += text.count(q, done, m.start())
+            done = m.start()
+            if any(n % 2 for n in odd.values()) or _COMMENT_START.match(text, at, m.start()):
+                out.append((m.start(), m.group(), value, "setting"))
+    line, end, names, first = -1, 0, [], None
     for m in _LITERAL.finditer(text):
         needle = m.group(m.lastindex)
-        if len(needle) < 5:
-            continue
-        value = _ESCAPED.sub(r"\1", needle) if "\\" in needle else needle
-        if " " in value:
-            if not (value.islower() and 3 <= value.count(" ") + 1 <= 12 and value.replace(" ", "").isalpha()):
-                continue
-        elif value.islower() and (value.isalpha() or value.replace("-", "").replace("_", "").replace("/", "").replace(".", "").isalpha()):
-            continue
-        at = text.rfind("\n", 0, m.start()) + 1
-        left = text[max(at, m.start() - 200) : m.start()]
-        if not left or not _BEFORE.search(left):
-            continue
-        bare = _QUOTED.sub(lambda q: q.group() if q.group(1) else " ", left)
-        names = _NAME.findall(bare)
-        first = _FIRST.match(left)
-        own = name_words(first.group(1)) if first else name_words(names[-1]) if names else []
-        if any(w in _HARMLESS_WORDS for w in own):
-            continue
-        words = own if any(w in _SECRET_WORDS for w in own) else [w for n in names[-2:] for w in name_words(n)]
-        if _named([w for w in words if w not in _HARMLESS_WORDS], value):
-            out.append((m.start() + 1, needle, value, "named value"))
+        at = text.rfind("\n", end if line >= 0 else 0, m.start()) + 1 or max(line, 0)
+        if at != line:
+            line, end, names = at, at, []
+            first = _FIRST.match(text, at)
+        gap = text[end : m.start()]
+        # The last two names before the literal on its line, read along the line once.
+        names = (names + _NAME.findall(gap))[-2:]
+        begin, end = m.start(), m.end()
+        before = gap.rstrip()
+        called = before.endswith("(")
+        if len(needle) >= 5:
+            value = _ESCAPED.sub(r"\1", needle) if "\\" in needle else needle
+            if literals is not None:
+                literals.add(value)
+            if _worth(value) and (_BEFORE.search(gap) if before else False):
+                own = name_words(first.group(1)) if first and first.end() <= begin else name_words(names[-1]) if names else []
+                if not any(w in _HARMLESS_WORDS for w in own):
+                    words = own if any(w in _SECRET_WORDS for w in own) else [w for n in names for w in name_words(n)]
+                    if _named([w for w in words if w not in _HARMLESS_WORDS], value):
+                        out.append((begin + 1, needle, value, "named value"))
+        if called and m.group()[0] != "`":
+            names = (names + _NAME.findall(needle))[-2:]
     for m in _MENTION.finditer(lower):
         begin, end = m.span(1)
         c = _LEADS.search(lower, begin, end)
@@ -201,15 +227,55 @@ def candidates(text: str) -> list[tuple[int, str, str, str]]:
     return out
 
 
-def _candidate_rows(rows):
+def _worth(value: str) -> bool:
+    """Whether a literal can be a secret under a secret's name: a passphrase, or no plain word or path."""
+    if " " in value:
+        return value.islower() and 3 <= value.count(" ") + 1 <= 12 and value.replace(" ", "").isalpha()
+    return not (value.islower() and (value.isalpha() or value.replace("-", "").replace("_", "").replace("/", "").replace(".", "").isalpha()))
+
+
+def _hash(value: str) -> int:
+    import xxhash
+
+    n = xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"))
+    return n - (1 << 64) if n >> 63 else n
+
+
+_RUN = re.compile(r"[^\W_]+")
+
+
+def anchor_of(needle: str, kind: str, value: str) -> tuple[str, str]:
+    """(anchor, main run): whole runs of letters and digits that stand wherever the secret stands.
+
+    A secret of one run has that run; of several, the longest and the longer of its neighbours. A secret is only found where
+    no letter or digit adjoins it, so its runs are whole runs of the text. Keys are told by their body.
+    """
+    if kind == "private key":
+        return "k:" + value, ""
+    runs = _RUN.findall(needle)
+    if not runs:
+        return "", ""
+    i = max(range(len(runs)), key=lambda k: len(runs[k]))
+    if len(runs) == 1:
+        return "s:" + runs[0], ""
+    j = i - 1 if i + 1 == len(runs) or i and len(runs[i - 1]) >= len(runs[i + 1]) else i + 1
+    return f"p:{runs[min(i, j)]} {runs[max(i, j)]}", runs[i]
+
+
+def _indexed(text: str, repo: str):
+    """Rows of the index for a text: hash and repository of every literal, and the candidates."""
+    literals: set[str] = set()
+    found = {(n, v, k) for _, n, v, k in candidates(text, literals)}
+    for value in literals.union(v for _, v, _ in found):
+        yield _hash(value), repo, None, None, None
+    for needle, value, kind in found:
+        yield _hash(value), repo, needle, value, kind
+
+
+def _file_rows(rows):
     for r in rows:
-        text = r["content"]
-        if text and r["file_id"] is not None:
-            seen = set()
-            for _, needle, value, kind in candidates(text):
-                if (needle, kind) not in seen:
-                    seen.add((needle, kind))
-                    yield needle, value, kind, r["repo"]
+        if r["content"] and r["file_id"] is not None:
+            yield from _indexed(r["content"], r["repo"] or "")
 
 
 def _constant_rows(rows):
@@ -219,108 +285,176 @@ def _constant_rows(rows):
             constants += (c or {}).get("class_vars") or []
         for c in constants:
             if c and c["value"]:
-                for _, needle, value, kind in candidates(f"{c['name'] or '_'} = {c['value']}"):
-                    yield needle, value, kind, r["repo"]
+                yield from _indexed(f"{c['name'] or '_'} = {c['value']}", r["repo"] or "")
 
 
-def confirmed(source_files: DataFrame, modules: DataFrame) -> DataFrame:
-    """Texts of confirmed secrets: needle, kind, owners."""
-    schema = "needle string, value string, kind string, repo string"
-    found = map_rows(source_files, _candidate_rows, schema, ["file_id", "repo", "content"])
+def index_literals(source_files: DataFrame, modules: DataFrame) -> DataFrame:
+    """The index: h (hash of the value), repo, and needle, value, kind for candidates; one row per literal and file."""
+    schema = "h bigint, repo string, needle string, value string, kind string"
+    found = map_rows(source_files, _file_rows, schema, ["file_id", "repo", "content"])
     constants = modules.select("repo", "constants", F.transform("classes", lambda c: F.struct(c.class_vars.alias("class_vars"))).alias("classes"))
-    found = found.unionByName(map_rows(constants, _constant_rows, schema))
-    index = found.groupBy("value", "needle", "kind", F.coalesce("repo", F.lit("")).alias("repo")).agg(F.count("*").alias("uses"))
-    owners = index.groupBy("value").agg(F.countDistinct("repo").alias("owners")).where(F.col("owners") <= OWNERS)
-    known = index.select("value", "needle", "kind").distinct().join(owners, "value")
+    return stored(found.unionByName(map_rows(constants, _constant_rows, schema)), "p7-index")
+
+
+def confirmed(source_files: DataFrame, modules: DataFrame) -> DataFrame:
+    """Confirmed secrets: needle, kind, value, owners, anchor, main."""
+    index = index_literals(source_files, modules)
+    named = index.where("needle is not null").select("h", "needle", "value", "kind").distinct()
+    uses = index.select("h", "repo").join(named.select("h").distinct(), "h", "left_semi").distinct()
+    rare = named.join(uses.groupBy("h").agg(F.count("*").alias("owners")).where(F.col("owners") <= OWNERS), "h")
+
+    def run(rows):
+        for r in rows:
+            if structured(r["kind"], r["value"]):
+                anchor, main = anchor_of(r["needle"], r["kind"], r["value"])
+                yield r["needle"], r["kind"], r["value"], r["owners"], anchor, main
+
+    kept = map_rows(rare, run, "needle string, kind string, value string, owners bigint, anchor string, main string")
     # Keys of one format may share a needle, other secrets do not.
-    return known.withColumn("key", F.when(F.col("kind") == "private key", F.col("value"))).groupBy("needle", "key").agg(F.min("kind").alias("kind"), F.min("value").alias("value"), F.max("owners").alias("owners")).drop("key")
-
-
-class Finder:
-    """An automaton over the texts of a block, built once per Python worker."""
-
-    built: dict[str, object] = {}
-
-    def __init__(self, name: str, needles) -> None:
-        self.name, self.needles = name, needles
-
-    def automaton(self):
-        made = Finder.built.get(self.name)
-        if made is None:
-            import ahocorasick
-
-            made = ahocorasick.Automaton()
-            at: dict[str, tuple[list, set]] = {}
-            for needle, kind, value in self.needles.value:
-                other, keys = at.setdefault(needle, ([], set()))
-                keys.add(value) if kind == "private key" else other.append((kind, value))
-            for needle, (other, keys) in at.items():
-                made.add_word(needle, (len(needle), other, keys))
-            made.make_automaton()
-            Finder.built.clear()
-            Finder.built[self.name] = made
-        return made
-
-    def spans(self, text: str) -> list[tuple[int, int, str, str]]:
-        """(begin, end, kind, value) of the secrets in a text, whole words only; longer ones win where several begin."""
-        out = []
-        if not len(self.automaton()):
-            return out
-        for last, (n, other, keys) in self.automaton().iter(text):
-            begin, end = last - n + 1, last + 1
-            if other and not ((text[begin].isalnum() and begin and (text[begin - 1].isalnum())) or (end < len(text) and text[end - 1].isalnum() and text[end].isalnum())):
-                out += [(begin, end, kind, value) for kind, value in other]
-            if keys:
-                head = text.rfind("-----BEGIN", 0, begin)
-                if head < 0 or "PRIVATE KEY" not in text[head:begin] or "-----END" in text[head:begin]:
-                    continue
-                value = key_value(text, begin)
-                if value in keys:
-                    tail = text.find("-----END", end)
-                    out.append((head, tail if tail > 0 else end, "private key", value))
-        return out
-
-
-def _blocks(source_files: DataFrame, secrets: DataFrame, make):
-    """Results of ``make(finder)`` for each block of confirmed secrets."""
-    spark = source_files.sparkSession
-    kept = stored(secrets, "p7-secrets")
-    block: list[tuple[str, str, str]] = []
-    results = []
-
-    def flush() -> None:
-        shared = spark.sparkContext.broadcast(list(block))
-        results.append(make(Finder(f"{id(shared)}-{len(results)}-{hash(tuple(block[:3]))}", shared)))
-        block.clear()
-
-    for r in kept.select("needle", "kind", "value").toLocalIterator():
-        block.append((r.needle, r.kind, r.value))
-        if len(block) >= BLOCK:
-            flush()
-    if block or not results:
-        flush()
-    return results
+    key = F.when(F.col("kind") == "private key", F.col("value"))
+    first = F.min(F.struct("kind", "value", "anchor", "main")).alias("v")
+    merged = kept.groupBy("needle", key.alias("key")).agg(first, F.max("owners").alias("owners"))
+    return merged.select("needle", "v.kind", "v.value", "owners", "v.anchor", "v.main")
 
 
-def find_secrets(source_files: DataFrame, modules: DataFrame) -> DataFrame:
-    """Rows (file_id, line) on which a secret begins."""
+def _place(x: str) -> int:
+    return _hash(x) & (BITS - 1)
 
-    def make(finder):
-        def run(rows):
-            for r in rows:
-                text = r["content"]
-                if not text:
-                    continue
-                lines = {text.count("\n", 0, begin) + 1 for begin, _, _, _ in finder.spans(text)}
-                for line in lines:
-                    yield r["file_id"], line
 
-        return map_rows(source_files, run, "file_id bigint, line int", ["file_id", "content"])
+def anchor_bitmap(secrets: DataFrame) -> bytes:
+    """A bit for each anchor and main run. It is put together as words of 64 bits in Spark; at most BITS / 64 of them exist."""
+    import numpy as np
 
-    found = None
-    for part in _blocks(source_files, confirmed(source_files, modules), make):
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
+    def run(rows):
+        for r in rows:
+            for x in (r["anchor"], "m:" + r["main"] if r["main"] else ""):
+                if x:
+                    p = _place(x)
+                    yield p >> 6, p & 63
+
+    bits = map_rows(secrets.select("anchor", "main"), run, "word int, bit int")
+    words = bits.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
+    full = np.zeros(BITS >> 6, dtype=np.int64)
+    full[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+    return full.view(np.uint64).astype("<u8").tobytes()
+
+
+def files_near(source_files: DataFrame, secrets: DataFrame) -> DataFrame:
+    """Files that hold an anchor of some secret (or share its bit): file_id, content, anchors. One pass over all files."""
+    shared = source_files.sparkSession.sparkContext.broadcast(anchor_bitmap(secrets))
+
+    def run(rows):
+        bitmap = shared.value
+
+        def marked(x: str) -> bool:
+            p = _place(x)
+            return bitmap[p >> 3] >> (p & 7) & 1 == 1
+
+        known: dict[str, int] = {}
+        for r in rows:
+            text = r["content"]
+            if not text:
+                continue
+            runs = _RUN.findall(text)
+            found = set()
+            hit = False
+            for x in set(runs):
+                k = known.get(x)
+                if k is None:
+                    if len(known) > 200_000:
+                        known.clear()
+                    k = known[x] = (1 if marked("s:" + x) else 0) | (2 if marked("m:" + x) else 0)
+                if k & 1:
+                    found.add("s:" + x)
+                hit |= k > 1
+            if hit:
+                for a, b in set(zip(runs, runs[1:])):
+                    if known.get(a, 0) > 1 or known.get(b, 0) > 1:
+                        x = f"p:{a} {b}"
+                        if marked(x):
+                            found.add(x)
+            if "PRIVATE KEY" in text:
+                for m in _PEM.finditer(text):
+                    x = "k:" + key_value(text, m.start(1))
+                    if marked(x):
+                        found.add(x)
+            if found:
+                yield r["file_id"], text, sorted(found)
+
+    return map_rows(source_files, run, "file_id bigint, content string, anchors array<string>", ["file_id", "content"])
+
+
+def automaton(secrets: list[dict]):
+    """An automaton over the texts of secrets: needle -> (length, other secrets, keys)."""
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    at: dict[str, tuple[list, set]] = {}
+    for x in secrets:
+        other, keys = at.setdefault(x["needle"], ([], set()))
+        keys.add(x["value"]) if x["kind"] == "private key" else other.append((x["kind"], x["value"]))
+    for needle, (other, keys) in at.items():
+        made.add_word(needle, (len(needle), other, keys))
+    made.make_automaton()
+    return made
+
+
+def spans_in(text: str, made) -> list[tuple[int, int, str, str]]:
+    """(begin, end, kind, value) of the secrets of an automaton in a text, whole words only."""
+    out = []
+    for last, (n, other, keys) in made.iter(text):
+        begin, end = last - n + 1, last + 1
+        if other and not ((text[begin].isalnum() and begin and (text[begin - 1].isalnum())) or (end < len(text) and text[end - 1].isalnum() and text[end].isalnum())):
+            out += [(begin, end, kind, value) for kind, value in other]
+        if keys:
+            head = text.rfind("-----BEGIN", 0, begin)
+            if head < 0 or "PRIVATE KEY" not in text[head:begin] or "-----END" in text[head:begin]:
+                continue
+            value = key_value(text, begin)
+            if value in keys:
+                tail = text.find("-----END", end)
+                out.append((head, tail if tail > 0 else end, "private key", value))
+    return out
+
+
+def _rescanned(source_files: DataFrame, modules: DataFrame, emit, schema: str) -> DataFrame:
+    """``emit(file_id, text, spans)`` for every file that holds confirmed secrets."""
+    secrets = stored(confirmed(source_files, modules), "p7-secrets")
+    near = stored(files_near(source_files, secrets), "p7-near").dropDuplicates(["file_id"])
+    pairs = near.select("file_id", F.explode("anchors").alias("anchor")).join(secrets.select("anchor", "needle", "kind", "value"), "anchor")
+    # As many as the file itself holds.
+    wanted = pairs.groupBy("file_id").agg(F.collect_list(F.struct("needle", "kind", "value")).alias("secrets"))
+    joined = near.select("file_id", "content").join(wanted, "file_id")
+
+    def run(rows):
+        held = []
+
+        def flush():
+            if held:
+                made = automaton([x for r in held for x in r["secrets"]])
+                for r in held:
+                    spans = spans_in(r["content"], made)
+                    if spans:
+                        yield from emit(r["file_id"], r["content"], spans)
+
+        for r in rows:
+            held.append(r)
+            if len(held) >= BATCH:
+                yield from flush()
+                held.clear()
+        yield from flush()
+
+    return map_rows(joined, run, schema)
+
+
+def _lines(file: int, text: str, spans):
+    for line in {text.count("\n", 0, begin) + 1 for begin, _, _, _ in spans}:
+        yield file, line
+
+
+def find_secrets(source_files: DataFrame, modules: DataFrame) -> DataFrame:
+    """Rows (file_id, line) on which a secret begins."""
+    return _rescanned(source_files, modules, _lines, "file_id bigint, line int").distinct()
 
 
 def mask(secret: str) -> str:
@@ -339,46 +473,34 @@ def mask(secret: str) -> str:
 
 
 def redact(text: str, spans: list[tuple[int, int, str, str]]) -> str:
-    """The text with the secret part of every span masked."""
-    out, last = [], 0
-    for begin, end, kind, value in sorted(spans):
-        if begin < last:
-            continue
-        piece = text[begin:end]
+    """The text with the secret part of every span masked; parts that overlap are masked as one."""
+    parts = []
+    for begin, end, kind, value in spans:
         if kind in ("address", "setting"):
-            cut = piece.rfind(value)
-            piece = piece[:cut] + mask(value) + piece[cut + len(value) :] if cut >= 0 else mask(piece)
+            cut = text.rfind(value, begin, end)
+            if cut >= 0:
+                begin, end = cut, cut + len(value)
         elif kind == "private key":
-            head = re.match(r"-----BEGIN [A-Z0-9 ]+-----", piece)
-            piece = (head.group() if head else "") + mask(piece[head.end() if head else 0 :])
+            head = re.compile(r"-----BEGIN [A-Z0-9 ]+-----").match(text, begin, end)
+            begin = head.end() if head else begin
+        parts.append((begin, end))
+    merged: list[list[int]] = []
+    for begin, end in sorted(parts):
+        if merged and begin < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
         else:
-            piece = mask(piece)
-        out += [text[last:begin], piece]
+            merged.append([begin, end])
+    out, last = [], 0
+    for begin, end in merged:
+        out += [text[last:begin], mask(text[begin:end])]
         last = end
     return "".join([*out, text[last:]])
 
 
-def redacted_files(source_files: DataFrame, modules: DataFrame) -> DataFrame:
-    """Files that hold secrets, with redacted content: file_id, secrets, content. Spans of one file from several blocks merge."""
-
-    def make(finder):
-        def run(rows):
-            for r in rows:
-                if r["content"]:
-                    for begin, end, kind, value in finder.spans(r["content"]):
-                        yield r["file_id"], begin, end, kind, value
-
-        return map_rows(source_files, run, "file_id bigint, begin int, end int, kind string, value string", ["file_id", "content"])
+def _redacted(file: int, text: str, spans):
+    yield file, len({(b, e) for b, e, _, _ in spans}), redact(text, spans)
 
-    spans = None
-    for part in _blocks(source_files, confirmed(source_files, modules), make):
-        spans = part if spans is None else spans.unionByName(part)
-    held = spans.distinct().groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "kind", "value"))).alias("spans"))
-    texts = source_files.select("file_id", "content").dropDuplicates(["file_id"]).join(held, "file_id")
 
-    def run(rows):
-        for r in rows:
-            spans = [(s["begin"], s["end"], s["kind"], s["value"]) for s in r["spans"]]
-            yield r["file_id"], len(spans), redact(r["content"], spans)
-
-    return map_rows(texts, run, "file_id bigint, secrets int, content string")
+def redacted_files(source_files: DataFrame, modules: DataFrame) -> DataFrame:
+    """Files that hold secrets, with redacted content: file_id, secrets, content."""
+    return _rescanned(source_files, modules, _redacted, "file_id bigint, secrets int, content string")
