@@ -93,39 +93,50 @@ def pages(spark):
     return spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
 
 
-def test_lexer_composes():
+BITS = {
+    "python": ['x = "a, b; c"\n', "# note; one, two\n", '"""\n', "'''\n", "y = 'it\\'s'\n", "f(1, 2)\n", 'z = "open\n', "word word word "],
+    "javascript": ["/* a, b\n", "*/ b;\n", "// c, d; e f\n", "`t u\n", "`;\n", 'x = "d, e; f g";\n', "y = 1;\n", "don't go // there now\n", "var a = 1;"],
+    "typescript": ["`a ${b} c\n", "`\n", "// a b\n", "'x y'"],
+    "rust": ["/* a /* b\n", "*/\n", "*/ x */\n", '"s t\n', '";\n', "let c = 'x';\n", "// e f\n", 'r#"q, "w\n', '"#;\n', 'r"a b', 'b"c d"; ', "let d = ' ';"],
+    "ruby": ["=begin\n", "=end\n", '"a b\n', '"\n', "# b c\n", "x = 1\n", "s = <<~EOS\n", "EOS\n", "<<'end', 2\n", "end\n", "'q\n", "w w w "],
+    "go": ["`raw, \n", "`\n", "// a b\n", "/* c\n", "*/\n", 'x := "a, b"\n', "'x'\n"],
+    "java": ['"""\n', '"a b"; ', "// x y\n", "/* a\n", "*/\n", "'c'"],
+}
+
+
+@pytest.mark.parametrize("language", BITS)
+def test_chunks_read_like_the_whole(language):
     from tesserine.llm import spoken
 
     r = random.Random(4)
-    bits = {
-        "python": ['x = "a"\n', "# note\n", '"""\n', "'''\n", "y = 'it\\'s'\n", "f(1, 2)\n"],
-        "javascript": ["/* a\n", "*/ b;\n", "// c\n", "`t\n", "`;\n", 'x = "d";\n', "y = 1;\n"],
-        "rust": ["/* a\n", "*/\n", '"s\n', '";\n', "let c = 'x';\n", "// e\n", 'r#"q"#;\n'],
-        "ruby": ["=begin\n", "=end\n", '"a\n', '"\n', "# b\n", "x = 1\n"],
-    }
-    for language, pieces in bits.items():
-        for _ in range(60):
-            parts = [r.choice(pieces) for _ in range(r.randint(1, 12))]
-            chunks = spoken.cut("".join(parts), 9)
-            assert "".join(chunks) == "".join(parts)
-            functions = [spoken.transition(c, language) for c in chunks]
-            state, states = spoken.CODE, []
-            for c in chunks:
-                states.append(state)
-                state = spoken.scan(c, language, state)
-            if all(s in f for s, f in zip(states, functions)):
-                assert spoken.prefix_states(functions) == states
+    for _ in range(400):
+        text = "".join(r.choice(BITS[language]) for _ in range(r.randint(1, 14)))
+        chunks = spoken.cut(text, r.randint(3, 40))
+        assert "".join(chunks) == text
+        state, states, functions, before = spoken.CODE, [], [], ""
+        for c in chunks:
+            states.append(state)
+            functions.append(spoken.transition(before + c, language, len(before)))
+            state = spoken.scan(before + c, language, state, None, len(before))
+            assert functions[-1](states[-1]) == state
+            before = c[-1:]
+        assert state == spoken.scan(text, language) and spoken.prefix_states(functions) == states
+        pieces, before = [], ""
+        for c, s in zip(chunks, states):
+            pieces.append((*spoken._lexed(language, before + c, s, len(before)), s != spoken.CODE and s[0] != "wait"))
+            before = c[-1:]
+        assert spoken.passages(spoken.joined_chunks(pieces)) == spoken.passages(spoken._lexed(language, text)[0])
 
 
 def test_passages_and_escapes():
     from tesserine.llm import spoken
 
     assert spoken.unescape(r"a\u00e9\u{1F600}\x41\n\"") == 'aé😀A\n"'
-    text = '# one two\n# three\nx = "Le mot " + \\\n    "suit"\n'
-    spans: list = []
-    spoken.scan(text, "python", spoken.CODE, spans)
-    assert [p for _, p in spoken.passages(text, spans)] == ["one two\nthree", "Le mot suit"]
-    assert spoken.sentences("Too short here. One two three four five six seven.") == ["one two three four five six seven"]
+    text = '# one two\n# three\nx = "Le" + \\\n    " mot suit"\n'
+    assert spoken.passages(spoken._lexed("python", text)[0]) == ["one two\nthree", "Le mot suit"]
+    assert spoken.sentences("One two three four five six seven. And short.") == ["one two three four five six seven"]
+    assert spoken.sentences("Datei fehlt. Bitte später erneut versuchen.") == ["datei fehlt bitte später erneut versuchen"]
+    assert spoken.sentences("Too short here. -----BEGIN PUBLIC KEY-----") == []
 
 
 def test_spoken_languages(spark):
@@ -162,7 +173,7 @@ def test_long_files_read_like_short_ones(spark):
     df, docs = files(spark, rows), pages(spark)
     whole = {(r.file_id, r.lang, r.chars) for r in language_shares(df, docs).collect()}
     assert {x[:2] for x in whole} >= {(i, g) for i in (1, 2, 3, 4) for g in ("de", "fr")}
-    for chunk in (100, 333):
+    for chunk in (50, 120, 500):
         assert {(r.file_id, r.lang, r.chars) for r in language_shares(df, docs, chunk=chunk).collect()} == whole
 
 
