@@ -1,11 +1,16 @@
 """Problem 1: generated, minified, vendored and data files among source code.
 
-Two sets of linear support-vector classifiers, one per kind of file. The first reads the whole content, its leading comment
-masked, as hashed byte n-grams, together with the components of the path; the second reads the leading comment alone, with
-names and versions masked, so that neither can lean on a giveaway name. They are fitted on a bounded sample of about ``SAMPLE``
-file versions (never more than twice that) whose labels come from plain signs (markers in the leading comment, directory and file names, a foreign
-project's name with a version, the shape of the lines); the fit is repeated after files without a sign that the first fit
-takes for one kind have been given up as negatives. Thresholds are set on repositories that training did not see.
+Linear support-vector classifiers, one per kind of file and view of it. The views are the content behind the leading comment
+(hashed byte n-grams), the form of that content as words, the components of the path, and, for vendored files only, the
+leading comment. The giveaway header is masked from all of them: phrases that tell of generation, the repository's own name,
+versions and numbers.
+
+No labelled data exist, so plain signs label a bounded sample of about ``SAMPLE`` file versions (never more than twice that),
+and every view is trained with the signs of another: content and form with those of the leading comment and the file's name
+(or, for minified and data files, of the share of literals and the lines' form), the path with those of the leading comment
+and content, the leading comment with those of the path. So no classifier reads what labelled its examples. The fit is
+repeated after files without a sign that the first fit takes for one kind have been given up as negatives. Thresholds are
+set on repositories that training did not see.
 
 Cases: null path or content count as empty; an empty file is hand-written; repeated versions give one row; without any
 labelled file of a kind, that kind's classifier never fires. An empty table gives an empty result.
@@ -28,11 +33,9 @@ TURNS = 3
 #: Weight of the path against the content, except for vendored files, of which the path tells most.
 PATH_WEIGHT = 0.3
 BATCH = 128
-#: Margin per kind from which an unlabelled file is no longer a negative example in the second fit.
-DOUBT = [-1.0, 0.0, 0.6, -0.3]
+#: Score from which an unlabelled file is no longer a negative example in the next fit.
+DOUBT = -0.5
 _BITS, _ORDERS, _HEAD_BITS, _HEAD_ORDERS = 16, (3, 5), 14, (4, 6)
-#: Further margin that a path alone needs to tell a vendored file.
-CLEAR = 0.6
 #: Repositories out of ten that only set the thresholds.
 HELD_OUT = 2
 
@@ -67,37 +70,35 @@ def head_of(text: str) -> int:
 
 
 def masked_head(text: str, repo: str) -> str:
-    """The first lines of the leading comment, with the repository's name, other projects' names, versions and numbers masked."""
-    head = text[: head_of(text)]
+    """The leading comment without phrases that tell of generation, the repository's name, versions and documentation blocks."""
+    head = _GENERATED_HEAD.sub(" ", text[: head_of(text)])
     if repo:
         head = re.sub(re.escape(repo), "OWNREPO", head, flags=re.I)
-    head = _FOREIGN.sub(lambda m: m.group().replace(m.group(1), "SOMENAME"), head)
-    head = _FOREIGN_AUTHORS.sub(lambda m: m.group().replace(m.group(1), "SOMENAME") if m.group(1) != "OWNREPO" else m.group(), head)
-    head = _VERSION.sub("SOMEVERSION", head)
-    head = _DOC_BLOCK.sub("", head)
+    head = _DOC_BLOCK.sub("", re.sub(r"\d+", "0", head))
     lines = [re.sub(r"^\W+", "", x).strip() for x in head.split("\n") if not x.lstrip().startswith(("///", "//!"))]
     return " | ".join(x for x in lines if x)
 
 
-def signs(repo: str, path: str, text: str) -> list[int]:
-    """Which kinds plain signs speak for: 1 or 0 for each kind. Only the sample is labelled so."""
-    out = [0, 0, 0, 0]
+def signs(repo: str, path: str, text: str) -> dict[str, list[int]]:
+    """Which kinds plain signs speak for, by where they stand: "head", "path" and "body" give 1 or 0 for each kind."""
+    out = {"head": [0, 0, 0, 0], "path": [0, 0, 0, 0], "body": [0, 0, 0, 0]}
     head = text[: head_of(text)]
     parts = path.lower().split("/")
-    name = parts[-1]
     body = text[len(head) :]
-    if _GENERATED_HEAD.search(head) or _GENERATED_NAME.search(name):
-        out[0] = 1
+    told = _GENERATED_HEAD.search(head) is not None
+    out["head"][0] = int(told)
+    out["path"][0] = int(_GENERATED_NAME.search(parts[-1]) is not None)
     lines = body.count("\n") + 1
-    if len(body) > 200 and (len(body) / lines > 150 and body.count(" ") < 0.08 * len(body) or _MINIFIED_NAME.search(name) and body.count(" ") < 0.1 * len(body)):
-        out[1] = 1
+    if len(body) > 200 and (len(body) / lines > 150 and body.count(" ") < 0.08 * len(body)):
+        out["body"][1] = 1
+    out["path"][1] = int(_MINIFIED_NAME.search(parts[-1]) is not None)
     own = set(re.split(r"[^a-z0-9]+", repo.lower()))
     foreign = [m.group(1).lower() for m in _FOREIGN.finditer(head)] + [m.group(1).lower() for m in _FOREIGN_AUTHORS.finditer(head)]
-    if set(parts[:-1]) & _VENDOR_DIRS or any(f != repo.lower() and f not in own for f in foreign if len(f) > 3) and not out[0]:
-        out[2] = 1
+    out["head"][2] = int(not told and any(f != repo.lower() and f not in own for f in foreign if len(f) > 3))
+    out["path"][2] = int(bool(set(parts[:-1]) & _VENDOR_DIRS))
     literal = sum(map(len, _LITERALS.findall(body)))
-    if len(body) > 300 and literal > 0.6 * len(body) and body.count("(") < 0.004 * len(body) and not out[0] and not out[1]:
-        out[3] = 1
+    if len(body) > 300 and literal > 0.6 * len(body) and body.count("(") < 0.004 * len(body) and not out["body"][1] and not told and not out["path"][0]:
+        out["body"][3] = 1
     return out
 
 
@@ -152,28 +153,47 @@ _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 class Model:
     """Weights and thresholds of the classifiers."""
 
-    def __init__(self, content, path, shape, head, cuts, head_cuts, report) -> None:
-        self.content, self.path, self.shape, self.head, self.cuts, self.head_cuts, self.report = content, path, shape, head, cuts, head_cuts, report
+    def __init__(self, weights, cuts, head_cut, report) -> None:
+        self.weights, self.cuts, self.head_cut, self.report = weights, cuts, head_cut, report
 
     def decide(self, rows: list[tuple[str, str, str]]) -> list[list[float]]:
-        """Margins above the threshold per kind for (repo, path, content) rows; the better of both sets of classifiers."""
+        """Margins above the threshold per kind for (repo, path, content) rows."""
         import numpy as np
 
-        from tesserine.llm.hashed import score_texts
-
-        if not rows or self.content is None:
+        if not rows or self.weights is None:
             return [[-1.0] * len(KINDS)] * len(rows)
-        z = score_texts(self.content, [content_bytes(t, p) for _, p, t in rows], _ORDERS, _BITS)
-        z = z + score_texts(self.path, [path_words(p).encode() for _, p, _ in rows], _HEAD_ORDERS, _HEAD_BITS)
-        z = z + score_texts(self.shape, [shape_words(t).encode() for _, _, t in rows], _HEAD_ORDERS, _HEAD_BITS)
-        heads = [masked_head(t, r).lower().encode("utf-8", "replace") for r, p, t in rows]
-        y = score_texts(self.head, heads, _HEAD_ORDERS, _HEAD_BITS)
-        y[np.array([len(h) < 4 for h in heads])] = -1
-        best = np.maximum(z - self.cuts, y - self.head_cuts)
+        z, y = _scored(self.weights, _views(rows))
+        best = z - self.cuts
+        best[:, 2] = np.maximum(best[:, 2], y - self.head_cut)
         best[np.array([not t.strip() for _, _, t in rows])] = -1
         return best.tolist()
 
 
+def _views(rows) -> dict[str, list[bytes]]:
+    """What the classifiers read of (repo, path, content) rows."""
+    return {
+        "content": [content_bytes(t, p) for _, p, t in rows],
+        "form": [shape_words(t).encode() for _, _, t in rows],
+        "path": [path_words(p).encode() for _, p, _ in rows],
+        "head": [masked_head(t, r).lower().encode("utf-8", "replace") for r, _, t in rows],
+    }
+
+
+_HASHED = {"content": (_ORDERS, _BITS, 3), "form": (_HEAD_ORDERS, _HEAD_BITS, 5), "path": (_HEAD_ORDERS, _HEAD_BITS, 5), "head": (_HEAD_ORDERS, _HEAD_BITS, 5)}
+
+
+def _scored(weights, views):
+    """Scores per kind from content, form and path together, and of vendored files from the leading comment."""
+    import numpy as np
+
+    from tesserine.llm.hashed import score_texts
+
+    z = sum(score_texts(weights[v], views[v], *_HASHED[v][:2]) for v in ("content", "form", "path"))
+    y = score_texts(weights["head"], views["head"], *_HASHED["head"][:2])[:, 0]
+    y[np.array([len(h) < 4 for h in views["head"]])] = -1
+    return z, y
+
+
 def train(source_files: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit the classifiers on about ``sample`` file versions, drawn by a hash of their ids, so that only they reach the driver."""
     usable = source_files.where("content is not null and content <> ''")
@@ -191,70 +211,72 @@ def fit(rows: list[tuple[str, str, str]]) -> Model:
 
     import numpy as np
 
-    from tesserine.llm.hashed import score_texts, train_hinge
+    from tesserine.llm.hashed import train_hinge
 
-    labels = np.array([signs(*r) for r in rows], dtype=np.float32)
-    if not len(rows) or not labels.any():
-        return Model(None, None, None, None, None, None, {})
+    told = [signs(*r) for r in rows]
+    by = {w: np.array([t[w] for t in told], dtype=np.float32).reshape(len(rows), len(KINDS)) for w in ("head", "path", "body")}
+    labels = np.clip(by["head"] + by["path"] * np.array([1, 0, 1, 0]) + by["body"], 0, 1) if len(rows) else np.zeros((0, len(KINDS)))
+    if not labels.any():
+        return Model(None, None, None, {})
     held = np.array([zlib.crc32(r[0].encode()) % 10 < HELD_OUT for r in rows])
     if held.all() or not held.any():
         held = np.arange(len(rows)) % 5 == 0
-    texts = [content_bytes(t, p) for _, p, t in rows]
-    paths = [path_words(p).encode() for _, p, _ in rows]
-    shapes = [shape_words(t).encode() for _, _, t in rows]
-    heads = [masked_head(t, r).lower().encode("utf-8", "replace") for r, _, t in rows]
-    has_head = np.array([len(h) >= 4 for h in heads])
-    # Minified and data files have no comment that says so; the leading comment speaks of generated and vendored files.
-    head_labels = labels.copy()
-    head_labels[:, [1, 3]] = 0
-
-    def learn(use, y, items, orders, bits, epochs):
-        at = np.nonzero(use)[0]
-        return train_hinge([items[i] for i in at], y[at], len(KINDS), orders, bits, epochs=epochs)
+    views = _views(rows)
+    has_head = np.array([len(h) >= 4 for h in views["head"]])
+    # Each view is taught by the others' signs; where only its own speak, the file is no example.
+    taught = {
+        "content": np.clip(by["head"] + by["body"] + by["path"] * np.array([1, 0, 0, 0]), 0, 1),
+        "form": np.clip(by["head"] + by["body"] + by["path"] * np.array([1, 0, 0, 0]), 0, 1),
+        "path": np.clip(by["head"] + by["body"], 0, 1),
+        "head": by["path"][:, 2:3],
+    }
+
+    def learn(view, use):
+        y = taught[view]
+        own = labels[:, 2] if view == "head" else labels.max(1)
+        at = np.nonzero(use & ((y.max(1) > 0) | (own == 0)))[0]
+        orders, bits, epochs = _HASHED[view]
+        return train_hinge([views[view][i] for i in at], y[at], y.shape[1], orders, bits, epochs=epochs)
 
     keep = ~held
+    doubtful = np.zeros(len(rows), dtype=bool)
     for turn in range(TURNS):
-        content = learn(keep, labels, texts, _ORDERS, _BITS, 3) * 0.5
-        path = learn(keep, labels, paths, _HEAD_ORDERS, _HEAD_BITS, 5)
-        shape = learn(keep, labels, shapes, _HEAD_ORDERS, _HEAD_BITS, 5)
-        path[:, [0, 1, 3]] *= PATH_WEIGHT
-        content[:, 2] = shape[:, 2] = 0  # a vendored file reads like any other; path and leading comment tell
-        head = learn(keep & has_head, head_labels, heads, _HEAD_ORDERS, _HEAD_BITS, 5)
-        z = score_texts(content, texts, _ORDERS, _BITS) + score_texts(path, paths, _HEAD_ORDERS, _HEAD_BITS) + score_texts(shape, shapes, _HEAD_ORDERS, _HEAD_BITS)
-        y = score_texts(head, heads, _HEAD_ORDERS, _HEAD_BITS)
-        y[~has_head] = -1
+        weights = {v: learn(v, keep & has_head if v == "head" else keep) for v in views}
+        weights["content"] *= 0.5
+        # A vendored file reads like any other; its path and leading comment tell (figures in the README).
+        weights["content"][:, 2] = weights["form"][:, 2] = 0
+        weights["path"][:, [0, 1, 3]] *= PATH_WEIGHT
+        z, y = _scored(weights, views)
         if turn < TURNS - 1:
-            doubtful = (labels.sum(1) == 0) & ((z > np.array(DOUBT)).any(1) | (y > np.array(DOUBT)).any(1))
+            doubtful = (labels.sum(1) == 0) & ((z > DOUBT).any(1) | (y > DOUBT))
             keep = ~held & ~doubtful
     any_label = labels.any(1)
-    cuts, head_cuts, report = np.zeros(len(KINDS)), np.zeros(len(KINDS)), {}
+    cuts, report = np.zeros(len(KINDS)), {}
+    use = held & ~doubtful
+    head_cut = _cut(y[use & has_head], labels[use & has_head, 2], any_label[use & has_head]) if by["path"][:, 2].any() else 1e9
     for k, kind in enumerate(KINDS):
         if not labels[:, k].any():
-            cuts[k] = head_cuts[k] = 1e9
+            cuts[k] = 1e9
             continue
-        use = held & ~doubtful if held.any() else np.ones(len(rows), dtype=bool)
-        cuts[k] = _cut(z[use, k], labels[use, k], any_label[use])
+        # Of vendored files, those count here whose path can tell.
+        cuts[k] = _cut(z[use, k], (by["path"] if k == 2 else labels)[use, k], any_label[use])
+        right = z[use, k] > cuts[k]
         if k == 2:
-            cuts[k] += CLEAR
-        if k in (1, 3):
-            head_cuts[k] = 1e9
-        else:
-            head_cuts[k] = _cut(y[use & has_head, k], head_labels[use & has_head, k], any_label[use & has_head])
-        right = np.maximum(z[use, k] - cuts[k], y[use, k] - head_cuts[k]) > 0
+            right |= y[use] > head_cut
         truth = labels[use, k] > 0
         report[kind] = {"held_out": int(use.sum()), "labelled": int(truth.sum()), "precision": float((right & truth).sum() / max(1, right.sum())), "recall": float((right & truth).sum() / max(1, truth.sum()))}
-    return Model(content, path, shape, head, cuts.astype(np.float32), head_cuts.astype(np.float32), report)
+    return Model(weights, cuts.astype(np.float32), np.float32(head_cut), report)
 
 
 def _cut(z, y, other) -> float:
-    """The threshold nearest to zero between the scores of unlabelled files and those of this kind; files of another kind don't count."""
+    """The threshold between the scores of unlabelled files and those of this kind, a third of the way up the gap; files of another kind don't count."""
     import numpy as np
 
     clean, mine = z[~other], z[y > 0]
     if not len(clean) or not len(mine):
         return 0.0
-    low, high = clean.max(), np.quantile(mine, 0.05)
-    return float(max(0.0, (low + high) / 2) if high > low else max(0.0, low)) if low > 0 else 0.0
+    low, high = float(clean.max()), float(np.quantile(mine, 0.05))
+    return max(0.0, low + (high - low) / 3 if high > low else low)
 
 
 def kinds_of_files(source_files: DataFrame, sample: int = SAMPLE) -> DataFrame:
