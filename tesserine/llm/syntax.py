@@ -5,8 +5,8 @@ climbing) with panic-mode recovery, so that all errors are stored, not only the
 extension; where the extension is unknown, the ``language`` column's. Files in other languages are left undecided
 (``valid`` is null).
 
-Deeply nested files are read with a longer stack. Where that ends too (in Python beyond the nesting the interpreter takes),
-the errors found before count, and a file without any is left undecided (``valid`` null, cause "too deep").
+Deeply nested files are read with a longer stack, so nesting has no limit of its own. Should the stack end all the same, the
+errors found before count, and a file without any is left undecided (``valid`` null, cause "too deep").
 
 Cases: null content or path counts as empty; empty files are valid; repeated versions give one row; extra columns are ignored. An empty table
 gives an empty result.
@@ -77,24 +77,6 @@ def check(content: str | None, language: str, path: str = "") -> list[tuple[int,
         sys.setrecursionlimit(frames)
 
 
-def confirmed_python(content: str) -> bool:
-    """Whether Python's own parser also rejects the text; it follows the checker and only clears files."""
-    import ast
-    import warnings
-
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(content)
-        return False
-    except (SyntaxError, ValueError):
-        return True
-    except RecursionError:
-        return False
-    except MemoryError:  # the interpreter's parser gave up: nothing clears the file
-        return True
-
-
 def _check_rows(rows):
     for r in rows:
         language = language_of(r["path"], r["language"])
@@ -105,8 +87,6 @@ def _check_rows(rows):
             if found is None:
                 cause = "too deep"
             else:
-                if found and language == "python" and not confirmed_python(content):
-                    found = []
                 valid = not found
                 if found:
                     lines, last, at = [], 0, 1

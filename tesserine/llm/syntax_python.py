@@ -15,9 +15,6 @@ NAME, ITEM, GROUP, OTHER = 0, 1, 2, 3
 class PythonChecker(Checker):
     """Statements until EOF, with NL, INDENT and DEDENT tokens."""
 
-    #: The interpreter takes 200 open brackets and 100 indents at most.
-    DEEPEST = 300
-
     def recover(self, begun: int) -> None:
         t, i = self.t, max(self.i, begun)
         while t[i] not in ("NL", "EOF"):

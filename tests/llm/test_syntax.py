@@ -55,8 +55,9 @@ def test_language():
     assert language_of("a/B.PY", "go") == "python" and language_of("x", " Go ") == "go" and language_of("x.zig", None) is None and language_of(None, None) is None
 
 
-def test_deep_nesting_is_undecided():
-    assert check("x = " + "(" * 4000 + ")" * 4000, "python") is None
+def test_deep_nesting_is_decided():
+    assert check("x = " + "(" * 4000 + ")" * 4000, "python") == []
+    assert check("x = " + "(" * 4000 + ")" * 3999, "python")
 
 
 ELSE_IF = {
@@ -83,7 +84,7 @@ DEEP = {
 @pytest.mark.parametrize("language", DEEP)
 def test_deep_files_are_decided(language):
     begin, left, inner, right, end = DEEP[language]
-    n = 190 if language == "python" else 600
+    n = 600
     assert check(begin + left * n + inner + right * n + end, language) == []
     assert check(begin + left * n + inner + right * (n - 1) + end, language)
 
