@@ -12,6 +12,7 @@ repeated row (equal id) is one item; items of equal size go by id; a null or non
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -20,7 +21,10 @@ from pyspark.sql import functions as F
 from tesserine.session import map_rows, stored
 
 GROUP = 20_000
+#: Rank file of the tokenizer where neither the caller nor the session (``spark.tesserine.vocabulary``) names one.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Long texts are counted in parts of about so many characters, each ending where the splitting pattern ends a piece.
+PART = 100_000
 #: Fixed value: the published splitting pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -37,14 +41,31 @@ def encoding(vocabulary: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+#: Before a single blank between other characters the pattern always ends a piece, as only a piece's first character is a blank.
+_PIECE_END = re.compile(r"(?<=\S) (?=\S)")
+
+
+def parts_of(text: str, size: int = PART):
+    """The text in parts that the tokenizer reads like the whole; one without blanks is one part."""
+    at = 0
+    while len(text) - at > size:
+        m = _PIECE_END.search(text, at + size)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
+def token_counts(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id and tokens of each non-empty text."""
+    vocabulary = vocabulary or documents.sparkSession.conf.get("spark.tesserine.vocabulary", None) or VOCABULARY
 
     def run(rows):
         count = encoding(vocabulary).encode_ordinary
         for r in rows:
             if r["text"] and r["doc_id"] is not None:
-                n = sum(len(count(r["text"][i : i + 100_000])) for i in range(0, len(r["text"]), 100_000)) if len(r["text"]) > 100_000 else len(count(r["text"]))
+                n = sum(len(count(p)) for p in parts_of(r["text"]))
                 if n:
                     yield r["doc_id"], n
 
@@ -113,23 +134,34 @@ def first_fit_decreasing(items: list[tuple[int, int]], capacity: int) -> list[tu
     return [(tree.put(size), key, piece, size) for size, key, piece in pieces]
 
 
-def pack(documents: DataFrame, specs: DataFrame, vocabulary: str = VOCABULARY, group: int = GROUP) -> DataFrame:
-    """One row per item or piece: spec_id, grp, container, doc_id, piece, tokens."""
+#: Most tasks that the groups are dealt to.
+TASKS = 20_000
+
+
+def pack(documents: DataFrame, specs: DataFrame, vocabulary: str | None = None, group: int = GROUP) -> DataFrame:
+    """One row per item or piece: spec_id, grp, container, doc_id, piece, tokens. Every capacity and group is a task's work of its own."""
     sizes = stored(token_counts(documents, vocabulary).dropDuplicates(["doc_id"]), "p8-sizes")
     groups = max(1, -(-sizes.count() // group))
     dealt = sizes.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
     wanted = specs.select("spec_id", "capacity_tokens").where("spec_id is not null and capacity_tokens > 0").distinct()
-    # The capacities are settings, a handful of rows, so they travel with the function.
+    # The capacities are settings, a handful of rows, so every item meets each of them.
     capacities = [(r.spec_id, r.capacity_tokens) for r in wanted.orderBy("spec_id").collect()]
+    schema = "spec_id bigint, grp int, container bigint, doc_id bigint, piece int, tokens bigint"
+    if not capacities:
+        return documents.sparkSession.createDataFrame([], schema)
+    each = F.explode(F.array(*[F.struct(F.lit(s).cast("bigint").alias("spec_id"), F.lit(c).cast("bigint").alias("capacity")) for s, c in capacities])).alias("s")
+    items = dealt.select("doc_id", "tokens", "grp", each).select("doc_id", "tokens", "grp", "s.spec_id", "s.capacity")
 
     def run(key, batch):
         import pandas as pd
 
-        items = list(zip(batch["doc_id"].tolist(), batch["tokens"].tolist()))
-        out = [(spec, key[0], *placed) for spec, capacity in capacities for placed in first_fit_decreasing(items, capacity)]
+        spec, capacity, grp = key
+        out = [(spec, grp, *placed) for placed in first_fit_decreasing(list(zip(batch["doc_id"].tolist(), batch["tokens"].tolist())), int(capacity))]
         return pd.DataFrame(out, columns=["spec_id", "grp", "container", "doc_id", "piece", "tokens"])
 
-    return dealt.groupBy("grp").applyInPandas(run, "spec_id bigint, grp int, container bigint, doc_id bigint, piece int, tokens bigint")
+    # A number given here is kept, so that small groups are not put together into one task.
+    spread = items.repartition(min(TASKS, groups * len(capacities)), "spec_id", "capacity", "grp")
+    return spread.groupBy("spec_id", "capacity", "grp").applyInPandas(run, schema)
 
 
 def pack_summary(documents: DataFrame, specs: DataFrame, **options) -> DataFrame:

@@ -514,6 +514,19 @@ def test_first_fit():
     assert sorted(s for _, k, _, s in long if k == 1) == [5, 10, 10] and len([1 for x in long if x[1] == 2]) == 1
 
 
+def test_long_texts_are_counted_like_whole_ones():
+    from tesserine.llm.packing import VOCABULARY, encoding, parts_of
+
+    r = random.Random(13)
+    count = encoding(VOCABULARY).encode_ordinary
+    for _ in range(60):
+        text = "".join(r.choice(["word", " ", "  ", "\n", "'s", "é中", "12", "!?", " a", "\t", "x" * 9]) for _ in range(r.randint(1, 300)))
+        parts = list(parts_of(text, r.randint(1, 40)))
+        assert "".join(parts) == text and sum(len(count(p)) for p in parts) == len(count(text))
+    long = " ".join(r.choice(["lamp", "it's", "42,", "(garden)", "é"]) for _ in range(80_000))
+    assert len(long) > 300_000 and len(list(parts_of(long))) > 2 and sum(len(count(p)) for p in parts_of(long)) == len(count(long))
+
+
 def test_packing_operator(spark):
     from tesserine.llm.packing import VOCABULARY, encoding, pack, pack_summary
 
@@ -531,7 +544,7 @@ def test_packing_operator(spark):
             assert r.piece == 0 or real[r.doc_id] > capacity
         assert max(load.values()) <= capacity and set(whole) == set(real) and all(whole[i] == real[i] for i in real if i)
     assert {r.spec_id for r in pack_summary(docs, specs).collect()} == {1, 2}
-    assert pack(docs.limit(0), specs).count() == 0
+    assert pack(docs.limit(0), specs).count() == 0 and pack(docs, specs.limit(0)).count() == 0
 
 
 # Problem 9
