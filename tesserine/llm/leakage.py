@@ -36,6 +36,8 @@ OWN = 0.35
 BLOCK_WORDS = 2_000_000
 _SEED = 3
 _WORD = re.compile(r"[^\W_]+")
+#: Letters of scripts that put no blanks between words; each counts as a word.
+_UNSPACED = re.compile("[\u0e00-\u0e7f\u0e80-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _ESCAPE = re.compile(r"\\(?:[nrt\"/]|u[0-9a-fA-F]{4})")
 #: Soft hyphens, zero-width characters and marks of direction, which stand inside words and are not seen.
 _UNSEEN = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff]")
@@ -46,7 +48,7 @@ _BASE = 1_000_003
 
 
 def words(text: str | None) -> list[str]:
-    """Case-folded words, behind escapes, entities, tags of layout and typographic forms."""
+    """Case-folded words, behind escapes, entities, tags of layout and typographic forms; single letters of scripts without blanks."""
     import html
     import unicodedata
 
@@ -60,6 +62,8 @@ def words(text: str | None) -> list[str]:
         text = _LAYOUT.sub(" ", _INLINE.sub("", text))
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _UNSEEN.sub("", text))
+        if _UNSPACED.search(text):
+            text = _UNSPACED.sub(r" \g<0> ", text)
     return _WORD.findall(text.casefold())
 
 

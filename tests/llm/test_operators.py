@@ -611,6 +611,16 @@ def test_leaks_behind_layout_and_scattered_changes():
     assert found == [[1], [1], []]
 
 
+def test_leaks_in_scripts_without_blanks():
+    from tesserine.llm.leakage import Items, words
+
+    assert words("清空队列 now") == ["清", "空", "队", "列", "now"]
+    text = "每次运行都会先读取队列中的记录然后按照时间顺序检查所有未关闭的条目并把结果写入日志"
+    index = Items([(1, text), (2, "另外一个任务描述了完全不同的步骤例如浇花喂猫修理旧钟表以及整理书架上的地图册子")], set())
+    assert [k for k, _, _ in index.matches("前言。" + text[5:34] + "，后面还有别的话。")] == [1]
+    assert not index.matches("前言。" + text[5:14] + "，后面还有别的话。")
+
+
 # Problem 10
 
 
