@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tesserine.functions import exprs
 from tesserine.session import map_rows
 
-#: Stems that travel to the executors at once.
-BLOCK = 50_000
+#: Stems of a repository that make one automaton, and texts that run through it in one task.
+STEMS, TEXTS = 50_000, 20_000
 
 
 def path_aliases(modules: DataFrame) -> DataFrame:
@@ -63,37 +63,39 @@ def dependency_lines(modules: DataFrame, **options) -> DataFrame:
     return modules.select("repo", "path", "module_ord").join(edges, ["repo", "path"], "left").select("repo", "path", "module_ord", F.concat(F.lit("`"), "path", F.lit("` imports: "), shown).alias("line"))
 
 
-def mentions(modules: DataFrame, block: int = BLOCK) -> DataFrame:
+def mentions(modules: DataFrame, stems: int = STEMS, texts: int = TEXTS) -> DataFrame:
     """Pairs (repo, path, stem): the module's text holds the lower-case stem of some module of its repository as a substring.
 
-    Every text runs once through an automaton of all stems, so the work is linear in the texts and matches, unlike a join
-    on "contains". Stems travel in blocks of bounded size.
+    Texts meet the stems of their own repository only. A repository of more than ``stems`` stems or ``texts`` texts is dealt
+    into blocks of stems times groups of texts, so a task's group is bounded however large the repository. Stems come first
+    in a group and make an automaton, through which its texts then run once: the work is linear in texts and matches, unlike
+    a join on "contains".
     """
-    texts = modules.select("repo", "path", exprs.reference_text().alias("text"))
-    stems = modules.select("repo", F.lower(exprs.path_stem("path")).alias("stem")).distinct()
-    held: list[str] = []
-    found = None
-
-    def search(words: list[str]) -> DataFrame:
-        shared = modules.sparkSession.sparkContext.broadcast(words)
-
-        def run(rows):
-            automaton = _automaton(shared.value)
-            for r in rows:
-                for stem in automaton(r["text"] or ""):
-                    yield r["repo"], r["path"], stem
-
-        return map_rows(texts, run, "repo string, path string, stem string")
-
-    for r in stems.select("stem").distinct().toLocalIterator():
-        held.append(r.stem)
-        if len(held) >= block:
-            part = search(held)
-            found, held = part if found is None else found.unionByName(part), []
-    if held or found is None:
-        part = search(held)
-        found = part if found is None else found.unionByName(part)
-    return found.join(stems, ["repo", "stem"]).select("repo", "path", "stem")
+    known = modules.where("repo is not null")
+    named = known.select("repo", F.lower(exprs.path_stem("path")).alias("stem")).distinct()
+    held = known.select("repo", "path", exprs.reference_text().alias("text"))
+    size = known.groupBy("repo").agg(F.count("*").alias("texts"), F.countDistinct(F.lower(exprs.path_stem("path"))).alias("stems"))
+    shape = size.select("repo", F.ceil(F.col("stems") / stems).cast("int").alias("blocks"), F.ceil(F.col("texts") / texts).cast("int").alias("groups"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    none = F.lit(None).cast("string")
+    words = named.join(shape, "repo").select("repo", F.pmod(F.xxhash64("stem"), F.col("blocks")).cast("int").alias("b"), upto("groups").alias("g"), F.lit(0).alias("kind"), F.col("stem").alias("name"), none.alias("text"))
+    rows = held.join(shape, "repo").select("repo", upto("blocks").alias("b"), F.pmod(F.xxhash64("path"), F.col("groups")).cast("int").alias("g"), F.lit(1).alias("kind"), F.col("path").alias("name"), "text")
+    together = words.unionByName(rows).repartition("repo", "b", "g").sortWithinPartitions("repo", "b", "g", "kind")
+
+    def run(batch):
+        key, stems_here, find = None, [], None
+        for r in batch:
+            if (r["repo"], r["b"], r["g"]) != key:
+                key, stems_here, find = (r["repo"], r["b"], r["g"]), [], None
+            if r["kind"] == 0:
+                stems_here.append(r["name"])
+                continue
+            if find is None:
+                find = _automaton(stems_here)
+            for stem in find(r["text"] or ""):
+                yield r["repo"], r["name"], stem
+
+    return map_rows(together, run, "repo string, path string, stem string")
 
 
 def _automaton(words: list[str]):
@@ -115,9 +117,9 @@ def _automaton(words: list[str]):
     return lambda text: {w for _, w in made.iter(text)} | set(empty)
 
 
-def reference_counts(modules: DataFrame, block: int = BLOCK) -> DataFrame:
+def reference_counts(modules: DataFrame, **sizes: int) -> DataFrame:
     """Per module the number of other modules of its repository whose text mentions its stem; zero where none does."""
-    seen = mentions(modules, block)
+    seen = mentions(modules, **sizes)
     total = seen.groupBy("repo", "stem").agg(F.count("*").alias("n"))
     own = seen.select("repo", "path", "stem", F.lit(1).alias("own"))
     named = modules.select("repo", "path", "module_ord", F.lower(exprs.path_stem("path")).alias("stem"))

@@ -10,13 +10,16 @@ from tesserine.functions import exprs
 KEYS = ["repo", "path"]
 
 
-def current_modules(modules: DataFrame) -> DataFrame:
-    """One row per (repo, path): the highest file_id. Equal rows count once.
+def current_modules(modules: DataFrame, versions: DataFrame) -> DataFrame:
+    """One row per (repo, path): the module of the latest version that has one, by modified_at, then file_id. Equal rows count once.
 
-    Only keys are aggregated, so the nested columns are not dragged through the grouping; they meet the winners by file_id.
+    ``versions`` has file_id and modified_at. Only keys are aggregated, so the nested columns are not dragged through the
+    grouping; they meet the winners by file_id. A module without a known version comes last.
     """
-    latest = modules.groupBy(*KEYS).agg(F.max("file_id").alias("file_id"))
-    return modules.join(latest.select("file_id").distinct(), "file_id", "left_semi").dropDuplicates(["file_id"])
+    dated = versions.groupBy("file_id").agg(F.max("modified_at").alias("modified_at"))
+    keys = modules.select(*KEYS, "file_id").distinct().join(dated, "file_id", "left")
+    latest = keys.groupBy(*KEYS).agg(F.max(F.struct("modified_at", "file_id")).alias("v")).select("v.file_id")
+    return modules.join(latest.distinct(), "file_id", "left_semi").dropDuplicates(["file_id"])
 
 
 def _keep(df: DataFrame) -> list[str]:

@@ -11,7 +11,8 @@ def _quote(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-CM = "cm as (select * exclude (k) from (select *, row_number() over (partition by repo, path order by file_id desc) as k from modules) where k = 1)"
+CM = """dated as (select file_id, max(modified_at) as modified_at from source_files group by file_id),
+cm as (select * exclude (k, modified_at) from (select m.*, d.modified_at, row_number() over (partition by m.repo, m.path order by d.modified_at desc nulls last, m.file_id desc) as k from modules m left join dated d on d.file_id = m.file_id) where k = 1)"""
 _SLUG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-')"
 _KEY = r"regexp_replace({0}, '([^/])\.[^./]+$', '\1')"
 _STEM = r"regexp_replace(split_part({0}, '/', -1), '(.)\.[^.]+$', '\1')"

@@ -23,7 +23,7 @@ def query(f):
 
 
 def _modules(spark: SparkSession, folder: str) -> DataFrame:
-    return views.current_modules(table(spark, folder, "modules"))
+    return views.current_modules(table(spark, folder, "modules"), table(spark, folder, "source_files").select("file_id", "modified_at"))
 
 
 @query
