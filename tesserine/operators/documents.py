@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tesserine.config import Config
 from tesserine.functions import exprs
 from tesserine.operators import graph, views
+from tesserine.session import stored
 
 # What a file's name says about it.
 DESCRIPTIONS = {"models": "Data models.", "utils": "Utility functions.", "helpers": "Utility functions.", "types": "Type definitions.", "schemas": "Schema definitions.", "routes": "HTTP route handlers.", "constants": "Module constants.", "config": "Configuration settings."}
@@ -82,11 +83,14 @@ def summary_cut(modules: DataFrame, max_tokens: int = 8000, config: Config | Non
     """
     config = config or Config(root=".", max_tokens_summary=max_tokens)
     room = 4 * max_tokens + 3
-    lines = summary_lines(modules, config)
+    # Lines of the modules as they are, and texts of the pruned ones, in one pass over the nested columns.
+    lined = modules.withColumn("line", summary_line(config))
+    slim = stored(graph.reference_texts(views.without_private(views.without_constants(views.truncated(lined))), "line"), "summary")
+    lines = slim.select("repo", "module_ord", "path", "line")
     size = F.length("line") + 1
     head = F.length(summary_head(config))
     total = lines.groupBy("repo").agg(F.sum(size).alias("chars")).select("repo", (F.col("chars") + head <= room).alias("fits"), (F.lit(room) - head).alias("room"))
-    refs = counts if counts is not None else graph.reference_counts(views.without_private(views.without_constants(views.truncated(modules))))
+    refs = counts if counts is not None else graph.counts_of(slim)
     ranked = lines.join(refs.select("repo", "path", F.col("n").alias("refs")), ["repo", "path"]).join(total, "repo")
     kept = ranked.where("fits").select("repo", "module_ord", "path", "line", F.lit(0).cast("bigint").alias("refs"))
     last = Window.partitionBy("repo").orderBy(F.col("refs").desc(), F.col("module_ord").desc(), F.col("path").desc())

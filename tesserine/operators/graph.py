@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.functions import exprs
-from tesserine.session import map_rows
+from tesserine.session import map_rows, stored
 
 #: Stems of a repository that make one automaton, and texts that run through it in one task.
 STEMS, TEXTS = 50_000, 20_000
@@ -63,19 +63,24 @@ def dependency_lines(modules: DataFrame, **options) -> DataFrame:
     return modules.select("repo", "path", "module_ord").join(edges, ["repo", "path"], "left").select("repo", "path", "module_ord", F.concat(F.lit("`"), "path", F.lit("` imports: "), shown).alias("line"))
 
 
-def mentions(modules: DataFrame, stems: int = STEMS, texts: int = TEXTS) -> DataFrame:
-    """Pairs (repo, path, stem): the module's text holds the lower-case stem of some module of its repository as a substring.
+def reference_texts(modules: DataFrame, *also: str) -> DataFrame:
+    """What reference counts need of modules: repo, path, module_ord, stem, text (and columns named in ``also``)."""
+    return modules.select("repo", "path", "module_ord", F.lower(exprs.path_stem("path")).alias("stem"), exprs.reference_text().alias("text"), *also)
 
-    Texts meet the stems of their own repository only. A repository of more than ``stems`` stems or ``texts`` texts is dealt
+
+def mentions(texts: DataFrame, stems: int = STEMS, group: int = TEXTS) -> DataFrame:
+    """Pairs (repo, path, stem) of ``reference_texts``: the text holds the stem of some module of its repository as a substring.
+
+    Texts meet the stems of their own repository only. A repository of more than ``stems`` stems or ``group`` texts is dealt
     into blocks of stems times groups of texts, so a task's group is bounded however large the repository. Stems come first
     in a group and make an automaton, through which its texts then run once: the work is linear in texts and matches, unlike
     a join on "contains".
     """
-    known = modules.where("repo is not null")
-    named = known.select("repo", F.lower(exprs.path_stem("path")).alias("stem")).distinct()
-    held = known.select("repo", "path", exprs.reference_text().alias("text"))
-    size = known.groupBy("repo").agg(F.count("*").alias("texts"), F.countDistinct(F.lower(exprs.path_stem("path"))).alias("stems"))
-    shape = size.select("repo", F.ceil(F.col("stems") / stems).cast("int").alias("blocks"), F.ceil(F.col("texts") / texts).cast("int").alias("groups"))
+    known = texts.where("repo is not null")
+    named = known.select("repo", "stem").distinct()
+    held = known.select("repo", "path", "text")
+    size = known.groupBy("repo").agg(F.count("*").alias("texts"), F.countDistinct("stem").alias("stems"))
+    shape = size.select("repo", F.ceil(F.col("stems") / stems).cast("int").alias("blocks"), F.ceil(F.col("texts") / group).cast("int").alias("groups"))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     none = F.lit(None).cast("string")
     words = named.join(shape, "repo").select("repo", F.pmod(F.xxhash64("stem"), F.col("blocks")).cast("int").alias("b"), upto("groups").alias("g"), F.lit(0).alias("kind"), F.col("stem").alias("name"), none.alias("text"))
@@ -117,10 +122,15 @@ def _automaton(words: list[str]):
     return lambda text: {w for _, w in made.iter(text)} | set(empty)
 
 
-def reference_counts(modules: DataFrame, **sizes: int) -> DataFrame:
-    """Per module the number of other modules of its repository whose text mentions its stem; zero where none does."""
-    seen = mentions(modules, **sizes)
+def counts_of(texts: DataFrame, **sizes: int) -> DataFrame:
+    """Per module of ``reference_texts`` the number of other modules of its repository whose text mentions its stem."""
+    seen = mentions(texts, **sizes)
     total = seen.groupBy("repo", "stem").agg(F.count("*").alias("n"))
     own = seen.select("repo", "path", "stem", F.lit(1).alias("own"))
-    named = modules.select("repo", "path", "module_ord", F.lower(exprs.path_stem("path")).alias("stem"))
+    named = texts.select("repo", "path", "module_ord", "stem")
     return named.join(total, ["repo", "stem"], "left").join(own, ["repo", "path", "stem"], "left").select("repo", "path", "module_ord", (F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0))).cast("bigint").alias("n"))
+
+
+def reference_counts(modules: DataFrame, **sizes: int) -> DataFrame:
+    """Per module the number of other modules of its repository whose text mentions its stem; zero where none does."""
+    return counts_of(stored(reference_texts(modules), "texts"), **sizes)

@@ -56,8 +56,8 @@ def test_reference_counts(spark):
     text = lambda m: " ".join([m[6], *(y for f in m[7] for y in (f[0], f[3]))]).lower()
     stem = lambda m: m[3].split("/")[-1].rsplit(".", 1)[0].lower()
     want = {(m[1], m[3]): sum(1 for o in rows if o[1] == m[1] and o[3] != m[3] and stem(m) in text(o)) for m in rows}
-    for block in (1, 1000):
-        assert {(x.repo, x.path): x.n for x in graph.reference_counts(make(spark, rows), block).collect()} == want
+    for sizes in ({"stems": 1, "group": 2}, {"stems": 3, "group": 1000}, {}):
+        assert {(x.repo, x.path): x.n for x in graph.reference_counts(make(spark, rows), **sizes).collect()} == want
 
 
 def test_summary_cut(spark):
