@@ -7,6 +7,7 @@ are put together into one string per repository, so no unbounded group meets in
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tesserine.config import Config
 from tesserine.functions import exprs
 from tesserine.operators import graph, views
-from tesserine.session import stored
+from tesserine.session import map_rows, stored
 
 # What a file's name says about it.
 DESCRIPTIONS = {"models": "Data models.", "utils": "Utility functions.", "helpers": "Utility functions.", "types": "Type definitions.", "schemas": "Schema definitions.", "routes": "HTTP route handlers.", "constants": "Module constants.", "config": "Configuration settings."}
@@ -254,6 +255,112 @@ def pruned(modules: DataFrame, max_tokens: int, cost: Callable[[DataFrame], Data
     return kept.unionByName(over.join(fitting, ["repo", "path"]).select(*kept.columns))
 
 
+def full_cost(modules: DataFrame, config: Config | None = None) -> DataFrame:
+    """Characters of the whole full document per repository, environment table and dependency lines included."""
+    return full_lines(modules, config).groupBy("repo").agg((F.sum(F.length("line") + 1) - 1).alias("chars"))
+
+
+def longest_fitting(rows: list[dict], room: int, head: int) -> int:
+    """How many modules at the end of ``rows`` make the longest full document within ``room`` characters.
+
+    ``rows`` are in the order in which modules go, each with path, size (of its section), vars, aliases and imports (a list
+    of names to try for each). Modules are added from the end, and what the document gains is kept up to date: a module in
+    front takes over the aliases it shares with later ones, so lines of those that import them are written again.
+    """
+    none = len("(none — leaf node)")
+    own: dict[str, str] = {}
+    first: dict[str, str] = {}
+    wanted: dict[str, set[int]] = {}
+    line: dict[int, int] = {}
+    seen_vars: set[str] = set()
+
+    def written(i: int) -> int:
+        found = set()
+        for tries in rows[i]["imports"]:
+            for x in tries:
+                target = own.get(x) or first.get(x)
+                if target:
+                    found.add(target)
+                    break
+        found.discard(rows[i]["path"])
+        return len(rows[i]["path"]) + 12 + (sum(len(t) + 4 for t in found) - 2 if found else none) + 1
+
+    total = head + len("## Dependency Graph") + 1 + 1 + 1 - 1
+    best = 0
+    for i in range(len(rows) - 1, -1, -1):
+        r = rows[i]
+        total += r["size"]
+        for v in r["vars"]:
+            if not seen_vars:
+                total += len("## Environment Variables") + 1 + 1 + len("| Variable | Files |") + 1 + len("|---|---|") + 1 + 1
+            total += len(r["path"]) + 4 if v in seen_vars else len(v) + len(r["path"]) + 12
+            seen_vars.add(v)
+        touched = {i}
+        if r["path"] not in own:
+            own[r["path"]] = r["path"]
+            touched |= wanted.get(r["path"], set())
+        for x in r["aliases"]:
+            first[x] = r["path"]
+            touched |= wanted.get(x, set())
+        for tries in r["imports"]:
+            for x in tries:
+                wanted.setdefault(x, set()).add(i)
+        for j in touched:
+            total -= line.get(j, 0)
+            line[j] = written(j)
+            total += line[j]
+        if total <= room:
+            best = len(rows) - i
+    return best
+
+
+def fitted_full(modules: DataFrame, max_tokens: int, config: Config | None = None) -> DataFrame:
+    """Modules of each repository that stay in a full document within the budget, stage by stage, exact to the character.
+
+    Every stage measures the whole document. In the last one modules go one at a time, the least referred to first, until the
+    rest fits; dropping one changes environment table and dependency lines, which is followed module by module. Every module
+    takes ten characters at least, so only the last ``room / 10`` can stay, a bounded group however large the repository.
+    Adds stage and refs; modules of the last stage get the place among those that stay as their module_ord.
+    """
+    config = config or Config(root=".")
+    room = 4 * max_tokens + 3
+    size = F.length(F.array_join(detail_lines(config), "\n")) + 1
+    # Sections change with the stage, the rest of the document does not: both are summed once.
+    sized = modules.withColumn("__s0", size)
+    for k, prune in enumerate((views.truncated, views.without_constants, views.without_private), 1):
+        sized = prune(sized).withColumn(f"__s{k}", size)
+    sections = sized.groupBy("repo").agg(*[F.sum(f"__s{k}").alias(f"s{k}") for k in range(4)])
+    rest = full_lines(modules, config).where("section_ord < 3").groupBy("repo").agg((F.sum(F.length("line") + 1) - 1).alias("chars"))
+    first = F.coalesce(*[F.when(F.col("chars") + F.col(f"s{k}") <= room, k) for k in range(4)], F.lit(4))
+    stage = stored(rest.join(sections, "repo").select("repo", first.alias("stage")), "stage")
+    staged = modules.join(stage, "repo")
+    cut1 = views.truncated(staged)
+    cut2 = views.without_constants(cut1)
+    cut3 = views.without_private(cut2)
+    whole = staged.where("stage = 0").unionByName(cut1.where("stage = 1")).unionByName(cut2.where("stage = 2")).unionByName(cut3.where("stage = 3")).withColumn("refs", F.lit(0).cast("bigint"))
+    over = cut3.where("stage = 4")
+    refs = graph.reference_counts(over)
+    tries = F.transform("imports", lambda i: F.filter(F.array(i, F.when(i.startswith("."), graph.relative_name(F.col("path"), i))), lambda x: x.isNotNull()))
+    slim = over.select("repo", "path", "module_ord", size.alias("size"), F.map_keys("env_vars").alias("vars"), tries.alias("imports"))
+    ranked = slim.join(refs.select("repo", "path", F.col("n").alias("refs")), ["repo", "path"])
+    last = Window.partitionBy("repo").orderBy(F.col("refs").desc(), F.col("module_ord").desc(), F.col("path").desc())
+    bounded = ranked.withColumn("k", F.row_number().over(last)).where(F.col("k") <= room // 10 + 1)
+    named = config.name
+
+    def run(batch):
+        for repo, group in groupby(batch, key=lambda r: r["repo"]):
+            rows = [{**r, "vars": r["vars"] or [], "imports": r["imports"] or [], "aliases": graph.aliases_of(r["path"])} for r in group]
+            head = len(named or repo or "project") + 2 + 1 + 1 + (len(config.description) + 2 + 1 + 1 if config.description else 0)
+            n = longest_fitting(rows, room, head)
+            for place, r in enumerate(rows[len(rows) - n :]):
+                yield repo, r["path"], place, r["refs"]
+
+    together = bounded.repartition("repo").sortWithinPartitions("repo", F.col("k").desc())
+    fitting = map_rows(together, run, "repo string, path string, place bigint, refs bigint")
+    left = over.join(fitting, ["repo", "path"]).withColumn("module_ord", F.col("place").cast(modules.schema["module_ord"].dataType)).drop("place")
+    return whole.unionByName(left.select(*whole.columns))
+
+
 def document_lines(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Non-blank lines of documents with their numbers: doc, line_no, line, ord (1-based place among the non-blank lines)."""
     lines = documents.select(F.col(doc).cast("string").alias("doc"), F.filter(F.transform(F.split(exprs.text_or_empty(text), exprs.LINE_END), lambda s, i: F.struct((i + 1).alias("line_no"), s.alias("line"))), lambda x: exprs.strip(x["line"]) != "").alias("x"))

@@ -26,6 +26,15 @@ def path_aliases(modules: DataFrame) -> DataFrame:
     return named.unionByName(own).groupBy("repo", "alias").agg(F.min("v").alias("v")).select("repo", "alias", F.col("v.path").alias("target"), F.col("v.module_ord").alias("target_ord"))
 
 
+def aliases_of(path: str) -> list[str]:
+    """The suffixes of a path without extension, with slashes and with dots."""
+    folder, slash, name = path.rpartition("/")
+    stem = name[: name.rindex(".")] if name.rfind(".") > 0 else name
+    parts = (folder + slash + stem).split("/")
+    found = ["/".join(parts[i:]) for i in range(len(parts))]
+    return found + [x.replace("/", ".") for x in found if "/" in x]
+
+
 def relative_name(path, name, resolve_slashes: bool = False):
     """The path that a name with leading dots means, seen from a file; with ``resolve_slashes`` "./x" and "../x" as well."""
     dots = F.length(F.regexp_extract(name, "^(\\.*)", 1))

@@ -82,24 +82,9 @@ def mini_text(modules: DataFrame, config: Config) -> str:
 
 
 def fitting_full_text(modules: DataFrame, config: Config) -> str:
-    """The full document within its budget.
-
-    Module sections are additive, the dependency lines and the environment table are not: dropping a module changes them.
-    So the cut by module sections comes first, and while the whole text is still too long, the least referenced fraction
-    that stands for the excess goes too.
-    """
-    room = 4 * config.max_tokens_full + 3
-    text = full_text(modules, config)
-    if len(text) <= room:
-        return text
-    budget = config.max_tokens_full
-    for _ in range(12):
-        kept = stored(docs.pruned(modules, max(1, budget)).drop("stage", "refs"), "pruned")
-        text = full_text(kept, config)
-        if len(text) <= room or not kept.take(1):
-            return text
-        budget = int(budget * min(0.97, room / len(text)))
-    return text
+    """The full document within its budget: only the modules that fit reach the driver, and the text is no longer than the budget."""
+    kept = stored(docs.fitted_full(modules, config.max_tokens_full, config).drop("stage", "refs"), "fitted")
+    return full_text(kept, config) or f"# {config.name or 'project'}\n"
 
 
 def generate(spark: SparkSession, config: Config, incremental: bool = False, diff: str | None = None, save: bool = True) -> Built:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from tesserine.config import ALWAYS_EXCLUDED, DEFAULT_EXTENSIONS, DEFAULT_LANGUAGES, EXTENSION_TO_LANGUAGE
-from tesserine.operators.documents import DESCRIPTIONS
-from tesserine.sources.ignore import compiled
-
 
 def _quote(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
@@ -25,15 +21,13 @@ def _first(x: str) -> str:
     return f"(case when contains({line}, '.') then split_part({line}, '.', 1) || '.' else {line} end)"
 
 
-def _language(x: str) -> str:
-    return f"(case {_SUFFIX.format(x)} " + " ".join(f"when {_quote(k)} then {_quote(v)}" for k, v in EXTENSION_TO_LANGUAGE.items()) + " end)"
+# Fixed values, stated here once more so that a mistake in the engine's own tables shows.
+_LANGUAGES = ".py python .js javascript .jsx javascript .ts typescript .tsx typescript .go go .rs rust .rb ruby .java java .cs csharp .c cpp .h cpp .cpp cpp .hpp cpp .cc cpp .scala scala .sc scala .php php .swift swift .ex elixir .exs elixir .kt kotlin .kts kotlin".split()
+_DESCRIBED = {"models": "Data models.", "utils": "Utility functions.", "helpers": "Utility functions.", "types": "Type definitions.", "schemas": "Schema definitions.", "routes": "HTTP route handlers.", "constants": "Module constants.", "config": "Configuration settings."}
 
 
-def _ignored(x: str, patterns) -> str:
-    out = "false"
-    for regex, negated in compiled(patterns):
-        out = f"(case when regexp_matches({x}, {_quote(regex)}) then {str(not negated).lower()} else {out} end)"
-    return out
+def _language(x: str) -> str:
+    return f"(case {_SUFFIX.format(x)} " + " ".join(f"when {_quote(k)} then {_quote(v)}" for k, v in zip(_LANGUAGES[::2], _LANGUAGES[1::2])) + " end)"
 
 
 def _params(f: str) -> str:
@@ -54,7 +48,7 @@ _PLAIN = "(case when len(classes) > 0 then 'Defines ' || array_to_string(list_tr
 _PAGE = "list_filter(routes, lambda r: r.handler = 'default' and r.method = 'GET')"
 _ALL = "list_filter(constants, lambda c: c.name = '__all__')"
 _ITEMS = rf"list_filter(list_transform(string_split(replace(replace(trim({_ALL}[1].value, '[]() '), '''', ''), '\"', ''), ','), lambda s: {_STRIP.format('s')}), lambda s: s <> '')"
-_BY_NAME = f"(case lower({_STEM.format('path')}) " + " ".join(f"when {_quote(k)} then {_quote(v)}" for k, v in DESCRIPTIONS.items()) + " end)"
+_BY_NAME = f"(case lower({_STEM.format('path')}) " + " ".join(f"when {_quote(k)} then {_quote(v)}" for k, v in _DESCRIBED.items()) + " end)"
 _FALLBACK = f"""(case when regexp_matches(path, 'page\\.(?:tsx|jsx|ts|js)$') and len({_PAGE}) > 0 then 'Page component at ' || {_PAGE}[1].path || '.' when len(routes) > 0 then 'Defines HTTP routes.' when {_BY_NAME} is not null then {_BY_NAME}
  else coalesce(list_filter(classes, lambda c: c.docstring <> '')[1].docstring, list_filter(functions, lambda f: f.docstring <> '')[1].docstring, case when len({_ITEMS}) > 0 then 'Provides ' || array_to_string({_ITEMS}, ', ') || '.' end, {_PLAIN}) end)"""
 LINES = f"""{CM},
@@ -100,10 +94,6 @@ dl as (select doc, cast(i as integer) as line_no, xs[i] as line from raw, unnest
 _ANCHOR = """(?i)<(?:a|span)[^>]*(?:id|name)=["''](.*?)["'']"""
 _HASH = "regexp_replace(lower(trim(content_hash)), '^sha-?256[:=]', '')"
 _CACHED = f"cached as (select distinct repo, path, {_HASH} as hash from module_cache where module is not null and coalesce(parse_opts, 'private=0') = 'private=0')"
-_EXCLUDE = ("**/test_*.py", "**/tests/**", "**/build/**")
-_INCLUDE = ("src/", "lib/**", "**/*.go")
-_included = " or ".join([f"regexp_matches(path, {_quote(r)})" for p in _INCLUDE for r, _ in compiled([p])] + [f"starts_with(path, {_quote(p.rstrip('/') + '/')})" for p in _INCLUDE])
-
 SQL: dict[str, str] = {
     "p5_found": """
 with cur as (
@@ -121,9 +111,11 @@ where cur.k = 1 and (st.h is null or cur.content is null or st.h <> sha256(cur.c
     "scalar_tokens": "select doc_id, greatest(1, length(text) // 4) as tokens from documents",
     "scalar_sha256": "select file_id, sha256(content) as hash, coalesce(lower(content_hash) = sha256(content), false) as agrees from source_files",
     "language_lookup": f"select {_language('path')} as language, count(*) as n from source_files group by 1",
-    "scan_filter_chain": f"""select file_id, path from source_files where not list_has_any(string_split(path, '/'), [{", ".join(map(_quote, ALWAYS_EXCLUDED))}])
- and {_SUFFIX.format('path')} in ({", ".join(map(_quote, DEFAULT_EXTENSIONS))}) and {_language('path')} in ({", ".join(map(_quote, [*DEFAULT_LANGUAGES, 'javascript']))})
- and not ({_ignored('path', _EXCLUDE)} or {_ignored("(path || '/')", _EXCLUDE)}) and ({_included})""",
+    "scan_filter_chain": rf"""select file_id, path from source_files
+ where not list_has_any(string_split(path, '/'), ['.git', '__pycache__', 'node_modules', '.venv', 'venv', 'dist', 'build', '.mypy_cache', '.pytest_cache', '.ruff_cache', '.tox', '.idea', '.vscode'])
+ and {_SUFFIX.format('path')} in ('.py', '.js', '.jsx', '.ts', '.tsx', '.go', '.rs', '.rb', '.java', '.cs', '.c', '.h', '.cpp', '.hpp', '.cc')
+ and not (regexp_matches(path, '(^|/)test_[^/]*\.py(/|$)') or regexp_matches(path, '(^|/)(tests|build)/'))
+ and (regexp_matches(path, '(^|/)src/') or starts_with(path, 'lib/') or regexp_matches(path, '\.go(/|$)'))""",
     "stats_summary": f"with {CM} select {_STATS} from cm",
     "stats_by_repo": f"with {CM} select repo, {_STATS} from cm group by repo",
     "mini_signatures": f"with {FNS} select repo, path, owner, owner_ord, fn_ord, {_signature('f')} as signature from fns",

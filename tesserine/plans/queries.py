@@ -191,8 +191,8 @@ def full_document(spark, folder):
 
 @query
 def full_document_pruned(spark, folder):
-    """Modules of each repository that stay in a full document of 32,000 tokens."""
-    return docs.pruned(_modules(spark, folder), 32000).select("repo", "path", "stage", "refs")
+    """Modules of each repository that stay in a full document of 1,000 tokens, in their order."""
+    return docs.fitted_full(_modules(spark, folder), 1000).select("repo", "path", "stage", "refs")
 
 
 @query
@@ -423,7 +423,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the core queries."""
-    from tesserine.plans.oracle import SQL
+    from tesserine.plans import oracle, oracle_documents
 
-    return dict(SQL)
+    return oracle.SQL | oracle_documents.SQL
 

@@ -151,6 +151,33 @@ def test_stages(spark):
     assert [f.name for f in docs.pruned(m, budget).first().functions] == ["f"]
 
 
+def test_full_document_is_cut_to_the_character(spark):
+    from tesserine.pipeline import full_text
+
+    r = random.Random(9)
+    names = ["pkg/utils", "lib/utils", "pkg/core", "app/main", "lib/io", "core", "app/util/io"]
+    rows = [
+        mod(i, f"{n}.py", "Doc. " * r.randint(1, 3), [fn(f"f{i}", "Uses utils and io here." if i % 2 else "Plain.")], imports=r.choices(["utils", "io", "core", ".utils", "..core", "os", "pkg.core", "lib/io.py"], k=4), env={"HOME": ["x"], f"V{i % 3}": ["y"]} if i % 3 else {})
+        for i, n in enumerate(names)
+    ]
+    m = make(spark, rows)
+    pruned = views.without_private(views.without_constants(views.truncated(m))).cache()
+    refs = {x.path: x.n for x in graph.reference_counts(pruned).collect()}
+    order = sorted((x[3] for x in rows), key=lambda p: (refs[p], next(y[2] for y in rows if y[3] == p)))
+    at = {x[3]: x for x in rows}
+    sizes = []
+    for k in range(len(order)):  # the document rendered whole after each module that goes
+        left = make(spark, [(*at[p][:2], i, *at[p][3:]) for i, p in enumerate(order[k:])])
+        sizes.append(len(full_text(views.without_private(views.without_constants(views.truncated(left))), Config(root=".", name="r"))))
+    sizes.append(0)
+    for k in (1, 4):
+        for budget in (-(-(sizes[k] - 3) // 4), -(-(sizes[k] - 3) // 4) - 1):
+            want = next(order[j:] for j in range(len(order) + 1) if sizes[j] <= 4 * budget + 3)
+            kept = docs.fitted_full(m, budget, Config(root=".", name="r"))
+            assert [x.path for x in kept.where("stage = 4").orderBy("module_ord").collect()] == (want if len(want) < len(order) else [])
+    assert docs.fitted_full(m, 1).count() == 0 and docs.fitted_full(m, 100000).where("stage = 0").count() == len(rows)
+
+
 def test_validation(spark):
     texts = {
         "ok": "# T\n\n> q\n\n## S\n\n- [a](b): x\n", "no heading": "## S\n", "quote": "# T\n## S\n> late\n", "section": "# T\n", "links": "# T\n## S\n- [](u) [l]()\n- [ ](x)\n", "anchors": '# T\n## S\n<a id="x"></a>\n<span name=\'x\'></span> <A ID="y">\n', "empty": " \n\n",
