@@ -255,11 +255,6 @@ def pruned(modules: DataFrame, max_tokens: int, cost: Callable[[DataFrame], Data
     return kept.unionByName(over.join(fitting, ["repo", "path"]).select(*kept.columns))
 
 
-def full_cost(modules: DataFrame, config: Config | None = None) -> DataFrame:
-    """Characters of the whole full document per repository, environment table and dependency lines included."""
-    return full_lines(modules, config).groupBy("repo").agg((F.sum(F.length("line") + 1) - 1).alias("chars"))
-
-
 def longest_fitting(rows: list[dict], room: int, head: int) -> int:
     """How many modules at the end of ``rows`` make the longest full document within ``room`` characters.
 

@@ -418,12 +418,14 @@ def watch_rebuild(spark, folder):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All core queries by name."""
-    return dict(QUERIES)
+    from tesserine.plans import tree
+
+    return QUERIES | tree.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the core queries."""
-    from tesserine.plans import oracle, oracle_documents
+    from tesserine.plans import oracle, oracle_documents, oracle_tree
 
-    return oracle.SQL | oracle_documents.SQL
+    return oracle.SQL | oracle_documents.SQL | oracle_tree.SQL
 
