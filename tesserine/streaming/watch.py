@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tesserine.session import shared_folder
+from tesserine.operators.incremental import with_partition
+from tesserine.session import shared_folder, stored
 
 
 def rebuild_on_change(changes: DataFrame, rebuild: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -23,21 +24,32 @@ def rebuild_on_change(changes: DataFrame, rebuild: Callable[[DataFrame, int], No
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def upsert_latest(spark: SparkSession, folder: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A batch function that keeps the latest row per key under ``folder``, one version folder per batch.
+#: Partitions of a stream's state.
+PARTITIONS = 32
 
-    A batch reads the version before it, so repeating one after a failure gives the same result.
+
+def upsert_latest(spark: SparkSession, folder: str, keys: list[str], order: list[str], partitions: int = PARTITIONS) -> Callable[[DataFrame, int], None]:
+    """A batch function that keeps the latest row per key under ``folder``, dealt into partitions by a hash of the key.
+
+    A batch reads and replaces only the partitions of its keys, by dynamic partition overwrite. Taking the latest is the same
+    done twice, so a batch that is repeated after a failure, wherever that was, gives the same state. A state that is gone
+    when later batches come is an error.
     """
     fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def run(batch: DataFrame, n: int) -> None:
-        state = batch
-        before = f"{folder}/v={n - 1}"
-        if n > 0 and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(before)):
-            state = batch.unionByName(spark.read.schema(batch.schema).parquet(before))
+        exists = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder))
+        if n > 0 and not exists:
+            raise RuntimeError(f"the state {folder} is gone, but batch {n} builds on it")
         rest = [c for c in batch.columns if c not in keys]
-        latest = state.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in rest])
-        latest.select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/v={n}")
+        newest = lambda df: df.groupBy("part", *keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("v")).select("part", *keys, *[F.col(f"v.{c}").alias(c) for c in rest])
+        fresh = stored(newest(with_partition(batch, keys, partitions)), "batch")
+        state = fresh
+        if exists:
+            touched = [r.part for r in fresh.select("part").distinct().collect()]  # at most ``partitions``
+            kept = spark.read.schema(fresh.schema).parquet(folder).where(F.col("part").isin(touched))
+            state = stored(newest(fresh.unionByName(kept)), "state")
+        state.repartition(partitions, "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(folder)
 
     return run
 
@@ -49,7 +61,6 @@ def latest_by_key(spark: SparkSession, path: str, schema: StructType, keys: list
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{path[:-1]}[{path[-1]}]")
     query = rebuild_on_change(stream, upsert_latest(spark, f"{work}/state", keys, order), f"{work}/checkpoint", available_now=True)
     query.awaitTermination()
-    progress = [p for p in query.recentProgress if p["numInputRows"] > 0]
-    if not progress:
+    if not any(p["numInputRows"] > 0 for p in query.recentProgress):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{work}/state/v={progress[-1]['batchId']}")
+    return spark.read.parquet(f"{work}/state").select(*schema.names)
