@@ -166,7 +166,7 @@ _MARKS = re.compile(r"(?m)^[ \t]*(?:/\*+!?|\*+/|\*+(?!\w)|//+[/!]?|#+(?!\[)!?|--
 # What documentation that says nothing consists of.
 _DIRECTIVE = re.compile(r"(?i)^(?:eslint|tslint|jshint|jslint|prettier|biome|istanbul|c8|v8|webpack|noqa|nolint|nosec|pylint|flake8|mypy|pyright|ruff|isort|yapf|black|fmt|autopep8|pragma|type:\s*ignore|@ts-|rubocop|steep|sorbet|typed:|frozen_string_literal|clippy|rustfmt|cargo|go:|lint:|\+build|checkstyle|nosonar|noinspection|suppresswarnings|@formatter|swiftlint|coverage|codecov|vim:|-\*-|coding[:=]|region\b|endregion\b|stylelint|deno-|@jsx|@flow|cspell|spell-?check|shellcheck|cppcheck|pmd|spotless|sonar|nocov|simplecov|:nocov:|:nodoc:|@internal\b|@private\b|@api\b|@generated\b|@override\b|@deprecated\s*$|@hidden\b|@ignore\b|#\[)")
 _TODO = re.compile(r"(?i)^\W*(?:to-?do|fixme|xxx|hack|tbd|wip|optimi[sz]e|review)\b")
-_PLACEHOLDER = re.compile(r"(?i)^\W*(?:n\s*/\s*a|none|null|tbd|tba|undocumented|not documented|missing(?: docs?| documentation)?|no (?:description|docs?|documentation|comment|docstring)(?: (?:yet|available|provided|here))?|(?:add |write |insert |your )?(?:a |the )?(?:description|docs?|docstring|documentation|comment|summary)(?: (?:here|goes? here|follows?|to follow|missing|needed|pending))?|placeholder|lorem ipsum.*|fill (?:me|this) in|write me|document (?:me|this)|to be (?:done|written|documented|added|described|filled in)|auto-?generated(?: method)? stub|method stub|stub|blah.*|foo|bar|test|asdf|xxx+|self-?explanatory|obvious|helper|helper (?:function|method)|function|method|constructor|getter|setter|internal|private|public|deprecated)\W*$")
+_PLACEHOLDER = re.compile(r"(?i)^\W*(?:n\s*/\s*a|none|null|tbd|tba|undocumented|not documented|missing(?: docs?| documentation)?|no (?:description|docs?|documentation|comment|docstring)(?: (?:yet|available|provided|here))?|(?:add |write |insert |your )?(?:a |the )?(?:description|docs?|docstring|documentation|comment|summary)(?: (?:here|go(?:es)? here|follows?|to follow|missing|needed|pending))?|placeholder|lorem ipsum.*|fill (?:me|this) in|write me|document (?:me|this)|to be (?:done|written|documented|added|described|filled in)|auto-?generated(?: method)? stub|method stub|stub|blah.*|foo|bar|test|asdf|xxx+|self-?explanatory|obvious|helper|helper (?:function|method)|function|method|constructor|getter|setter|internal|private|public|deprecated)\W*$")
 _POINTER = re.compile(r"(?i)^\W*(?:\{?@inherit-?doc\}?|inherit(?:s|ed)?(?: doc\w*)?(?: from [\w.#:()]+)?|(?:please )?(?:see|cf\.?|refer to|look at|check|compare|as in|same as|like|identical to|ditto|@see|documented (?:in|at|elsewhere)|described (?:in|at|elsewhere)|docs? (?:in|at)|overrides?|implements?)(?:\s+(?:also|above|below|elsewhere|there|here|the|a|an|its|base|parent|super|interface|class|method|function|module|file|docs?|documentation|docstring|comment|description|definition|declaration|spec(?:ification)?|wiki|readme|page|guide|handbook|manual|section|chapter|for|in|of|on|at|to|and|details?|more|information|overview|superclass|[\w./#:`'\"<>()\[\]-]*[._/#:`(\[<A-Z0-9][\w./#:`'\"<>()\[\]-]*|\w+)){0,9}|as above|see above|above|below)\W*$")
 _TAG = re.compile(r"(?i)^\W*(?:[@\\](\w+)|:(\w+)(?:\s+[^:\n]*)?:)\s*(.*)$")
 _SECTION = re.compile(r"(?i)^\W*(?:args?|arguments?|params?|parameters?|returns?|yields?|raises?|throws?|examples?|notes?|attributes|kwargs|keyword args|see also|usage)\s*:?\W*$")

@@ -284,7 +284,7 @@ def test_markup_operator(spark):
 # Problem 4
 
 
-@pytest.mark.parametrize("doc,name", [("Load the cache.", "load_cache"), ("loadCache", "loadCache"), ("TODO: write", "f"), ("FIXME", "f"), ("...", "f"), ("n/a", "f"), ("", "f"), (None, "f"), ("# ----", "f"), ("// eslint-disable-next-line", "f"), ("See above.", "f"), ("{@inheritDoc}", "f"), ("@param a\n@return", "f"), (":param a:\n:return:", "f"), ("Implementation of load_cache.", "load_cache"), ("The empty cache load function.", "loadEmptyCache"), ("/**\n *\n */", "f"), ("Args:\n  x:\n  y:", "f")])
+@pytest.mark.parametrize("doc,name", [("Load the cache.", "load_cache"), ("loadCache", "loadCache"), ("TODO: write", "f"), ("FIXME", "f"), ("...", "f"), ("n/a", "f"), ("", "f"), (None, "f"), ("# ----", "f"), ("// eslint-disable-next-line", "f"), ("See above.", "f"), ("{@inheritDoc}", "f"), ("@param a\n@return", "f"), (":param a:\n:return:", "f"), ("Docs go here.", "f"), ("Description goes here", "f"), ("Implementation of load_cache.", "load_cache"), ("The empty cache load function.", "loadEmptyCache"), ("/**\n *\n */", "f"), ("Args:\n  x:\n  y:", "f")])
 def test_trivial(doc, name):
     from tesserine.llm.pairs import informative
 
