@@ -48,6 +48,8 @@ _PIECES = re.compile(r"(?<![\w/+.-])([A-Za-z]{2,6}\d{0,2}(?:[-_](?:live|test|pro
 _LITERAL = re.compile(r"\"((?:[^\"\\\n]++|\\.)*+)\"|'((?:[^'\\\n]++|\\.)*+)'|`((?:[^`\\\n]++|\\.)*+)`")
 _ESCAPED = re.compile(r"\\([\"'`\\/$])")
 _MENTION = re.compile(r"\b(?:p(?:w|ass(?:wd|word|phrase)?)|logins?|secret|token|(?:api[ _-]?)?key|credentials?)\b([^\n]*)")
+#: Marks of footnotes and references in comments.
+_NOTE = re.compile(r"\[\^?[\w-]*\]")
 _IN_COMMENT = re.compile(r"(?:^|\s)(?:#|//|--|\*|/\*)")
 _LEADS = re.compile(r"[:=/]|\b(?:is|was|are)\b")
 #: Words of a name that make its value a secret, and words that make it none. Fixed values.
@@ -59,9 +61,13 @@ _BEFORE = re.compile(r"(?:[=:(,]|\?\?|\|\||=>|\bor)\s*$")
 _NAME = re.compile(r"[A-Za-z_]\w*")
 _COMMENT_START = re.compile(r"\s*(?:#|//|\*|/\*|--)")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+_MARKED = re.compile(r"[A-Za-z0-9][!%$#&*?+^~@][A-Za-z0-9]")
+_SYNTAX = re.compile(r"[()\[\]{}<>\\|\s]|://|^[./^]")
 _HEX = re.compile(r"(?:[0-9a-f]{16,}|[0-9A-F]{16,})")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-_PLACEHOLDER = re.compile(r"(?i)^[<{\[$%].*|\$\{|\{\{|%\(|\{\w*\}|^(.)\1{3,}$|\*{3,}|x{6,}|\.{3}|change_?me|replace_?me|your[_-]|[_-]here$|example|placeholder|dummy|redacted|todo|fixme|^none$|^null$|vault[:.]|^env[:.]|secretsmanager")
+#: Templates as a whole: in brackets, a variable of one case, a format, a variable between percent signs.
+_TEMPLATE = re.compile(r"<.*>|\{.*\}|\[.*\]|\$\(.*\)|\$[A-Z_][A-Z0-9_]*|\$[a-z_]+|%[-+ #0]*\d*(?:\.\d+)?[a-z]|%\w+%", re.S)
+_PLACEHOLDER = re.compile(r"(?i)\$\{|\{\{|%\(|\{\w*\}|^(.)\1{3,}$|\*{3,}|x{6,}|\.{3}|change_?me|replace_?me|your[_-]|[_-]here$|example|placeholder|dummy|redacted|todo|fixme|^none$|^null$|vault[:.]|^env[:.]|secretsmanager")
 
 
 def name_words(name: str) -> list[str]:
@@ -106,7 +112,7 @@ def structured(kind: str, value: str) -> bool:
         return True
     if kind == "encoded login":
         value = _login(value) or ""
-    if _PLACEHOLDER.search(value):
+    if _PLACEHOLDER.search(value) or _TEMPLATE.fullmatch(value):
         return False
     if kind in ("address", "setting", "encoded login"):
         return len(value) >= 4 and not re.fullmatch(r"(?i)(?:password|passwd|pass|pwd|secret|token|\w*_password|\w*_token)", value)
@@ -132,7 +138,8 @@ def _named(words: list[str], value: str) -> bool:
         return any(w in ("passphrase", "phrase") for w in words) and 3 <= len(parts) <= 12 and all(p.isalpha() and p.islower() for p in parts)
     if _HEX.fullmatch(value):
         return any(w in ("secret", "key", "token", "password", "hmac", "signing", "auth") for w in words) and len(set(value)) >= 6
-    return looks_random(value)
+    # Words joined by a mark that names and paths do not have are a password too.
+    return looks_random(value) or len(value) >= 8 and _MARKED.search(value) is not None and not _SYNTAX.search(value)
 
 
 def key_value(text: str, begin: int) -> str:
@@ -158,7 +165,7 @@ def candidates(text: str, literals: set[str] | None = None) -> list[tuple[int, s
             out.append((m.start(), m.group(), m.group(), "signed token"))
     if "://" in text:
         for m in _URL.finditer(text):
-            if not _PLACEHOLDER.search(m.group(1)):
+            if not _PLACEHOLDER.search(m.group(1)) and not _TEMPLATE.fullmatch(m.group(1)):
                 out.append((m.start(), m.group()[:-2], m.group(2), "address"))
     if "Basic " in text:
         for m in _BASIC.finditer(text):
@@ -221,8 +228,8 @@ def candidates(text: str, literals: set[str] | None = None) -> list[tuple[int, s
         if not c or not _IN_COMMENT.search(text, max(0, text.rfind("\n", 0, begin)), begin):
             continue
         for w in re.finditer(r"[^\s\"'`,;()<>]{6,}", text[c.start() : end]):
-            value = w.group().strip(".:=/")
-            if looks_random(value, 8) and not _HEX.fullmatch(value) and not re.match(r"^[\w.-]+/[\w./-]+$", value) and "&" not in value[:1]:
+            value = _NOTE.sub("", w.group()).strip(".:=/")
+            if value in w.group() and looks_random(value, 8) and not _HEX.fullmatch(value) and not re.match(r"^[\w.-]+/[\w./-]+$", value) and "&" not in value[:1]:
                 out.append((c.start() + w.start() + w.group().find(value), value, value, "comment"))
     return out
 
