@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tesserine.session import map_rows
 
-EXAMPLES = 7000
+EXAMPLES = 5000
 BATCH = 512
 #: Kinds of candidate nodes.
 KINDS = "tag element comment entity list bullet number heading setext table row under2 under1 strike code link image auto quote fence foot rule bold3 ital2 star2 star1 wiki ext template wtable whead indent command env item math2 math1 mathp".split()
@@ -482,7 +482,7 @@ def model():
                 if label is not None:
                     rows.append(row)
                     labels.append(label)
-    return Boosted(trees=80, depth=5).fit(np.array(rows), np.array(labels))
+    return Boosted(trees=60, depth=4).fit(np.array(rows), np.array(labels))
 
 
 def decode(nodes: list[Node], scores: list[float]) -> list[bool]:
