@@ -418,14 +418,14 @@ def watch_rebuild(spark, folder):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All core queries by name."""
-    from tesserine.plans import tree
+    from tesserine.plans import members, tree
 
-    return QUERIES | tree.QUERIES
+    return QUERIES | tree.QUERIES | {"parsed_members": members.parsed_members}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the core queries."""
-    from tesserine.plans import oracle, oracle_documents, oracle_tree
+    from tesserine.plans import members, oracle, oracle_documents, oracle_tree
 
-    return oracle.SQL | oracle_documents.SQL | oracle_tree.SQL
+    return oracle.SQL | oracle_documents.SQL | oracle_tree.SQL | {"parsed_members": members.members_sql()}
 
