@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import sys
-import tempfile
 import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from tesserine.config import TABLE, load_config
-from tesserine.session import session
+from tesserine.session import session, shared_folder
 
 
 def _generate(a: argparse.Namespace) -> int:
@@ -38,7 +38,9 @@ def _generate(a: argparse.Namespace) -> int:
         print(path)
     print(f"{built.parsed} files parsed in {time.time() - began:.1f} s")
     if a.watch:
-        query = pipeline.watch(spark, config, tempfile.mkdtemp(prefix="tesserine-watch-"))
+        # One checkpoint a root in the session's folder, so that a restart goes on where the last run stopped.
+        name = hashlib.sha256(str(Path(config.root).resolve()).encode()).hexdigest()[:16]
+        query = pipeline.watch(spark, config, f"{shared_folder(spark).rstrip('/')}/watch-{name}")
         try:
             query.awaitTermination()
         except KeyboardInterrupt:

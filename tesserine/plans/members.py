@@ -44,3 +44,35 @@ def members_sql() -> str:
     rows = ", ".join("(" + ", ".join(f"'{x}'" for x in (v[0], *v[2:])) + ")" for v in SOURCES.values())
     filled = ", ".join(f"replace({c}, '{{n}}', n) as {c}" for c in ("functions", "classes", "methods", "fields"))
     return f"with ns as (select {name} as n from nation), ls(suffix, functions, classes, methods, fields) as (values {rows}) select n || suffix as path, {filled} from ns cross join ls"
+
+
+#: Path, source, functions, constants with types, routes, imports and environment variables; "{r}" stands for a region.
+SCRIPTS = [
+    ("src/app/{r}/page.tsx", 'import { Zone } from "../zone";\nexport default function Page() {\n  return null;\n}\n', "Page", "", "GET /{r} default", "../zone", ""),
+    ("src/app/api/{r}/route.ts", 'import { z } from "zod";\n/** Lists. */\nexport async function GET(req: Request) {\n  return process.env.HOME_{r};\n}\nexport function POST() { return process.env["TOKEN"]; }\n', "GET POST", "", "GET /api/{r} GET;POST /api/{r} POST", "zod", "HOME_{r} TOKEN"),
+    ("src/server/{r}.ts", 'import express from "express";\nimport * as zone from "./zone";\nconst app = express();\napp.get("/{r}/all", listAll);\napp.post("/{r}", (req, res) => {});\nexport const Shape = z.object({\n  name: z.string(),\n  size: z.number(),\n});\nconst hidden = 1;\n', "", "Shape: { name: string, size: number }", "GET /{r}/all listAll;POST /{r} ", "./zone express", ""),
+    ("pkg/{r}.go", 'package p\n\nimport "os"\n\n// Home of the zone.\nfunc Home() string {\n\treturn os.Getenv("HOME_{r}")\n}\n\nfunc hidden() {}\n', "Home", "", "", "os", "HOME_{r}"),
+]
+
+
+def parsed_script(spark: SparkSession, folder: str) -> DataFrame:
+    """Functions, constants, routes, imports and environment variables of pages, servers and Go files made of regions."""
+    from tesserine.parse.udtf import parse_modules
+
+    name = F.lower(F.regexp_replace("r_name", "[^A-Za-z0-9]", "_"))
+    texts = F.explode(F.array(*[F.struct(F.lit(x[0]).alias("path"), F.lit(x[1]).alias("text")) for x in SCRIPTS])).alias("t")
+    rows = table(spark, folder, "region").select(name.alias("r"), texts)
+    put = lambda c: F.replace(c, F.lit("{r}"), F.col("r"))
+    language = F.when(F.col("t.path").endswith(".go"), "go").otherwise("typescript")
+    source = rows.select(F.lit("tpch").alias("repo"), put("t.path").alias("path"), language.alias("language"), put("t.text").alias("content"))
+    constants = F.transform("constants", lambda k: F.concat(k["name"], F.when(k["type_hint"] != "", F.concat(F.lit(": "), k["type_hint"])).otherwise("")))
+    served = F.transform("routes", lambda x: F.concat_ws(" ", x["method"], x["path"], x["handler"]))
+    joined = lambda items: F.array_join(F.array_sort(items), " ")
+    return parse_modules(source).select("path", joined(F.transform("functions", lambda f: f["name"])).alias("functions"), F.array_join(constants, "; ").alias("constants"), F.array_join(F.array_sort(served), ";").alias("routes"), joined(F.array_distinct("imports")).alias("imports"), joined(F.map_keys("env_vars")).alias("env"))
+
+
+def script_sql() -> str:
+    """What must come out, for a second engine."""
+    rows = ", ".join("(" + ", ".join(f"'{x}'" for x in (v[0], *v[2:])) + ")" for v in SCRIPTS)
+    filled = ", ".join(f"replace({c}, '{{r}}', r) as {c}" for c in ("path", "functions", "constants", "routes", "imports", "env"))
+    return f"with rs as (select lower(regexp_replace(r_name, '[^A-Za-z0-9]', '_', 'g')) as r from region), ls(path, functions, constants, routes, imports, env) as (values {rows}) select {filled} from rs cross join ls"

@@ -420,12 +420,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All core queries by name."""
     from tesserine.plans import members, tree
 
-    return QUERIES | tree.QUERIES | {"parsed_members": members.parsed_members}
+    return QUERIES | tree.QUERIES | {"parsed_members": members.parsed_members, "parsed_script": members.parsed_script}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the core queries."""
     from tesserine.plans import members, oracle, oracle_documents, oracle_tree
 
-    return oracle.SQL | oracle_documents.SQL | oracle_tree.SQL | {"parsed_members": members.members_sql()}
+    return oracle.SQL | oracle_documents.SQL | oracle_tree.SQL | {"parsed_members": members.members_sql(), "parsed_script": members.script_sql()}
 
