@@ -36,7 +36,7 @@ BATCH = 256
 FEWEST_WORDS, FEWEST_HAN = 6, 12
 SURE = 0.5
 #: How many times as often a sentence in code is English than each other language; the classes of the sample are equal.
-ENGLISH = 20
+ENGLISH = 10
 _ORDERS, _BITS = (3, 5), 16
 
 # The lexer. For each language: an alternation that finds the next comment or string, and for each way to be inside one a
@@ -368,8 +368,8 @@ def sentences(text: str) -> list[str]:
             if _NOISY.search(s):
                 s = _NOISE.sub(" ", s)
             words = _LETTERS.findall(s)
-            if not words:
-                continue
+            if 2 * sum(len(w) > 2 for w in words) < max(1, len(words)):
+                continue  # numbers in letters, initials, marks
             if len(words) >= FEWEST_WORDS:
                 out.append(" ".join(words).lower())
             else:
